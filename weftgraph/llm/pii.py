@@ -199,7 +199,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_email, n_ip, n_card, n_phone (base ones), base_sha256, spans (base and selected ones)."""
     d = detected(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return d.select(f"`{id_col}`", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("selected")).alias("spans"))
 
 
