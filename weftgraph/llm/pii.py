@@ -47,21 +47,35 @@ _HINT = {
     "card": r"(?i)(?:card|visa|master|credit|karte|carte|tarjeta|konto|account)[^A-Za-z0-9]*\S*[^A-Za-z0-9]*$",
     "phone": r"(?i)(?:phone|tel|call|fax|fon|mobile|handy|tél)[^A-Za-z0-9]*\S*[^A-Za-z0-9]*$",
 }
-_DIGITS = r"translate({x}, concat(regexp_replace({x}, '[0-9]', '')), '')"
+
+
+def _digit_count(x: str, least: int, most: int) -> str:
+    return f"length(regexp_replace({x}, '[^0-9]', '')) between {least} and {most}"
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str) -> str:
-    """SQL for an array of (start, end, value) of a pattern's matches: split() gives what is between them."""
+def _matches(text: str, pattern: str) -> str:
+    """SQL for an array of a pattern's matches (m), each with what is between it and the one before (gap), as split() gives it; the last has no m."""
     p = _quoted(pattern)
+    return f"zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, gap) -> named_struct('m', m, 'gap', gap))"
+
+
+def _spans(matches: str, where: str) -> str:
+    """SQL for an array of (start, end, value) of those matches for which a condition on x.m holds. Works in blocks, as appending to one long array
+    would take quadratic time."""
+    none = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+    width = f"cast(ceil(sqrt(size({matches}))) as int)"
+    step = (
+        f"(s, x) -> if(x.m is null, s, named_struct('at', s.at + length(x.gap) + length(x.m), 'out', if({where}, "
+        "concat(s.out, array(named_struct('start', s.at + length(x.gap), 'end', s.at + length(x.gap) + length(x.m), 'value', x.m))), s.out)))"
+    )
+    block = f"aggregate(slice({matches}, k * {width} + 1, {width}), named_struct('at', r.at, 'out', {none}), {step})"
     return (
-        f"aggregate(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, gap) -> named_struct('m', m, 'gap', gap)), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string>>)), "
-        "(s, x) -> if(x.m is null, s, named_struct('at', s.at + length(x.gap) + length(x.m), 'out', concat(s.out, array(named_struct('start', s.at + length(x.gap), 'end', s.at + length(x.gap) + length(x.m), 'value', x.m))))), "
-        "s -> s.out)"
+        f"if(size({matches}) < 2, {none}, aggregate(sequence(0, cast(ceil(size({matches}) / {width}) as int) - 1), named_struct('at', 0, 'out', {none}), "
+        f"(r, k) -> aggregate(array({block}), r, (q, b) -> named_struct('at', b.at, 'out', concat(q.out, b.out))), r -> r.out))"
     )
 
 
@@ -102,15 +116,14 @@ def proposals(docs: DataFrame) -> DataFrame:
     df = docs.select("id", F.translate(F.coalesce("text", F.lit("")), "\u0001", "\u0002").alias("t"))
     guard = {"email": "t like '%@%'", "ip": "t rlike r'[0-9]\\.[0-9]'", "card": "t rlike '[0-9]{2}'", "phone": "t like '%+%'"}
     wide_guard = {"email": "lower(t) rlike r'[(\\[{] ?at ?[)\\]}]'", "phone": "t rlike r'[0-9][)]?[ ./-]{1,2}[0-9]'"}
-    none = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+    few = {"email": "true", "ip": "true", "card": _digit_count("x.m", 13, 19), "phone": _digit_count("x.m", 7, 24)}
+    nothing = "cast(array() as array<struct<m:string,gap:string>>)"
     df = df.withColumns({k: F.expr(f"if({guard[k]}, regexp_replace(t, {_quoted(_INNER[k])}, '\\u0001'), '')") if k in _INNER else F.expr("t") for k in KINDS})
-    df = df.withColumns({f"s_{k}": F.expr(f"if({guard[k]}, {_spans(k, _PATTERN[k])}, {none})") for k in KINDS})
-    df = df.withColumns({f"w_{k}": F.expr(f"if({wide_guard[k]}, {_spans('t', p)}, {none})") for k, p in _WIDE.items()})
+    df = df.withColumns({f"m_{k}": F.expr(f"if({guard[k]}, {_matches(k, _PATTERN[k])}, {nothing})") for k in KINDS} | {f"n_{k}": F.expr(f"if({wide_guard[k]}, {_matches('t', p)}, {nothing})") for k, p in _WIDE.items()})
+    df = df.withColumns({f"s_{k}": F.expr(_spans(f"m_{k}", few[k])) for k in KINDS} | {f"w_{k}": F.expr(_spans(f"n_{k}", few[k])) for k in _WIDE})
     parts = []
     for k in KINDS:
         marked = f"transform(s_{k}, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, 'base', {_valid(k)}))"
-        if k == "card":
-            marked = f"filter({marked}, x -> x.base or length(regexp_replace(x.value, '[^0-9]', '')) between 13 and 19)"
         if k in _WIDE:
             again = f"filter(w_{k}, x -> not exists(s_{k}, y -> x.start < y.end and y.start < x.end))"
             marked = f"concat({marked}, transform({again}, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, 'base', false)))"
