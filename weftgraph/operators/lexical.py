@@ -11,10 +11,9 @@ from ..functions.text import jaccard, tokens
 
 
 def multiset_jaccard(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts over sum of the larger; 0 if both are empty."""
-    union = F.array_union(a, b)
+    """Sum of the smaller counts over sum of the larger; 0 if both are empty. Only tokens of a, the query, can add to the former."""
     count = lambda c, w: F.size(F.filter(c, lambda x: x == w))
-    low = F.aggregate(union, F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+    low = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
     high = F.size(a) + F.size(b) - low
     return F.when(high > 0, low / high).otherwise(0.0)
 

@@ -148,6 +148,11 @@ def next_version(version: str, changes: list[tuple[str, str, str]]) -> str:
     return f"{major}.{minor + 1}.0" if "minor" in kinds else f"{major}.{minor}.{patch + 1}"
 
 
+def _mapped(function, m: Column, name: str, of) -> Column:
+    """A map function whose lambda is also told whether the key is the given one."""
+    return function(m, lambda k, v: of(k == name, k, v))
+
+
 def migrated(rows: DataFrame, steps: list[tuple], properties: str = "properties") -> DataFrame:
     """Applies steps to a map column: ('add', name, default), ('remove', name), ('rename', name, new name), ('transform', name, function of Column)."""
     for kind, name, *more in steps:
@@ -155,11 +160,13 @@ def migrated(rows: DataFrame, steps: list[tuple], properties: str = "properties"
         if kind == "add":
             rows = rows.withColumn(properties, F.when(F.map_contains_key(m, name), m).otherwise(F.map_concat(m, F.create_map(F.lit(name), F.lit(more[0])))))
         elif kind == "remove":
-            rows = rows.withColumn(properties, F.map_filter(m, lambda k, v, name=name: k != name))
+            rows = rows.withColumn(properties, _mapped(F.map_filter, m, name, lambda same, k, v: ~same))
         elif kind == "rename":
-            rows = rows.withColumn(properties, F.transform_keys(m, lambda k, v, name=name, to=more[0]: F.when(k == name, to).otherwise(k)))
+            to = F.lit(more[0])
+            rows = rows.withColumn(properties, _mapped(F.transform_keys, m, name, lambda same, k, v, to=to: F.when(same, to).otherwise(k)))
         elif kind == "transform":
-            rows = rows.withColumn(properties, F.transform_values(m, lambda k, v, name=name, f=more[0]: F.when(k == name, f(v)).otherwise(v)))
+            f = more[0]
+            rows = rows.withColumn(properties, _mapped(F.transform_values, m, name, lambda same, k, v, f=f: F.when(same, f(v)).otherwise(v)))
         else:
             raise ValueError(f"no such step: {kind}")
     return rows
