@@ -423,7 +423,7 @@ def last_interactions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), "event_id").limit(10).select("event_id", "ts")
 
 
-@query("SELECT event_id, epoch_ms(ts) AS time_at FROM events WHERE epoch_ms(ts) BETWEEN 1704240000000 AND 1704326400000")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS time_at FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1704240000000 AND 1704326400000")
 def time_ids(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     return _t(spark, d, "events").select("event_id", at.alias("time_at")).where(F.col("time_at").between(1704240000000, 1704326400000))
