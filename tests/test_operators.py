@@ -159,7 +159,7 @@ def test_hybrid_queries_are_checked():
 
 def test_vector_search(spark):
     v = table(spark, [("a", "t", [1.0, 0.0]), ("b", "t", [0.0, 1.0]), ("c", "u", [1.0, 1.0]), ("z", "u", [0.0, 0.0])], "id string, type string, vector array<float>")
-    assert [r.id for r in search.nearest(v, [1.0, 0.0], None).collect()] == ["a", "c", "z", "b"] and search.nearest(v, [1.0, 0.0], 0).count() == 0
+    assert {r.id: r.distance for r in search.nearest(v, [1.0, 0.0], None).collect()} == {"a": 0.0, "c": 1.0, "z": 1.0, "b": 2.0} and search.nearest(v, [1.0, 0.0], 0).count() == 0
     assert [r.distance for r in search.nearest(v, [1.0, 0.0], 1, normalised=True).collect()] == [0.0]
     assert [r.id for r in search.most_similar(v, [1.0, 0.0], 10, 0.5).collect()] == ["a", "c"]
     with pytest.raises(KeyError):
