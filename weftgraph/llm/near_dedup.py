@@ -10,7 +10,7 @@ Pairs come in two steps, as only groups are asked for and not all pairs within t
 bucket is compared with the bucket's smallest id, which joins most of a large group. Then members of one bucket that are
 still in different groups are compared, in blocks of up to 256 by 256, by sketch; no bucket is capped. What the sketch lets pass
 (all but pairs that are estimated at 0.16 below the threshold or less, over five standard deviations) is confirmed on
-the full sets. Groups are the connected components, found by contracting edges in rounds.
+the full sets, where texts are sent to blocks of pairs and not to each pair. Groups are the connected components, found by contracting edges in rounds.
 
 Defined cases: null or empty texts (and texts of white space alone) have no shingle, are linked with nothing and are
 their own group. Rows that repeat an id are one document. A null id keeps its row, with a null group. An empty table
@@ -35,6 +35,8 @@ PLACES = BANDS * ROWS
 SLACK = 0.16
 #: Members of one block of a bucket.
 BLOCK = 256
+#: Ids that may be broadcast, 8 to 16 MB.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -106,31 +108,84 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, f"id {kind}, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    both = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of ids, of a stored table, whose full shingle sets have 100 * intersection >= percent * union.
+
+    Pairs meet their texts in blocks: ids that pairs connect are dealt into blocks of about BLOCK, and each text is sent once to each pair of blocks that has
+    pairs of it, instead of once to each pair."""
+    groups = components(pairs, f"{name}-near")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    of = lambda x: placed.select(F.col("id").alias(x), F.col("block").alias(f"block_{x}"), *(["component"] if x == "a" else []))
+    keyed = pairs.join(of("a"), "a").join(of("b"), "b").select("component", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
+    keyed = stored(keyed, f"{name}-keyed")
+    need = keyed.select("component", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = _of_ids(docs, keyed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    rows = need.join(texts, "id").select("component", "i", "j", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), "text")
+    rows = rows.union(keyed.select("component", "i", "j", F.lit(1), "a", "b", F.lit(None).cast("string")))
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "kind", "a")
+
+    def checked(texts: pa.Table, pairs: pa.Table) -> pa.RecordBatch:
+        """Pairs of one key that are alike enough."""
+        at: dict = {}
+        sets = []
+        for k, x in enumerate(texts.column("a").to_pylist()):
+            at.setdefault(x, k)
+        for _, _, values, begin in shingle_sets(texts.column("text")):
+            sets += [values[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        size = np.array([len(x) for x in sets])
+        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(int(dense.max(initial=-1)) + 2, np.int32)
+        left = np.array([at[x] for x in pairs.column("a").to_pylist()])
+        right = np.array([at[x] for x in pairs.column("b").to_pylist()])
+        good = np.zeros(len(left), bool)
+        order = np.argsort(left, kind="stable")
+        cuts = np.flatnonzero(np.diff(left[order])) + 1
+        for some in np.split(order, cuts):
+            own = dense[begin[left[some[0]]] : begin[left[some[0]] + 1]]
+            mark[own] = 1
+            for k in some.tolist():
+                common = int(mark[dense[begin[right[k]] : begin[right[k] + 1]]].sum())
+                good[k] = common > 0 and 100 * common >= percent * (len(own) + int(size[right[k]]) - common)
+            mark[own] = 0
+        return pa.RecordBatch.from_arrays([pairs.column(c).combine_chunks().filter(pa.array(good)) for c in "ab"], names=["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            left = batch.column(0).to_pylist()
-            for lo, _, values, begin in shingle_sets(batch.column(3)):
-                for k, (s, e) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                    if own is None or left[lo + k] != last:
-                        last, own = left[lo + k], next(shingle_sets(batch.column(2).slice(lo + k, 1)))[2]
-                    common = len(np.intersect1d(own, values[s:e], assume_unique=True))
-                    good[lo + k] = common > 0 and 100 * common >= percent * (len(own) + e - s - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+        for group in by_key(batches, ("component", "i", "j")):
+            is_pair = group.column("kind").to_numpy() == 1
+            if is_pair.any():
+                first = int(is_pair.argmax())
+                yield checked(group.slice(0, first), group.slice(first))
 
     kind = dict(docs.dtypes)["id"]
-    return both.mapInArrow(each, f"a {kind}, b {kind}")
+    return rows.mapInArrow(each, f"a {kind}, b {kind}")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by it. Holds one key's rows and one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        codes = [batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+        begin = [0, *cuts.tolist(), len(batch)]
+        for s, e in zip(begin[:-1], begin[1:], strict=True):
+            key = tuple(batch.column(k)[s].as_py() for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs of some ids. The ids are broadcast if they are few, counted first; else both sides are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -195,17 +250,8 @@ def _across(members: DataFrame, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b)], names=["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            begin = np.concatenate([[0], cuts]).tolist()
-            for s, e in zip(begin[:-1], begin[1:], strict=True):
-                yield compared(table.slice(s, e - s))
-            kept = table.slice(begin[-1])
-        if kept is not None and len(kept):
-            yield compared(kept)
+        for group in by_key(batches, ("key", "i", "j")):
+            yield compared(group)
 
     return parts.mapInArrow(each, f"a {kind}, b {kind}").distinct()
 
@@ -230,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     side = lambda x: lone.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{_differing('sketch_a', 'sketch_b')} <= {most}").select("a", "b")
     near = stored(near, "pairs")
-    links = stored(confirmed(near, own, percent), "links")
+    links = stored(confirmed(near, own, percent, "pivots"), "links")
     groups = components(links, "groups")
 
     named = F.coalesce("component", "id")
@@ -238,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     split = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     rest = members.join(split, "key", "left_semi").join(lone.select("id", "sketch"), "id")
     more = stored(_across(rest, most).join(near, ["a", "b"], "left_anti"), "pairs-across")
-    links = links.union(confirmed(more, own, percent))
+    links = links.union(confirmed(more, own, percent, "across"))
     groups = stored(components(links, "all-groups"), "components")
 
     of_rep = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(*alike, F.coalesce("component", "rep").alias("component_id"))
