@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from ._spark import arrow_batches
 
 SPACE = "▁"
 #: Entries of each memo; a full one is emptied.
-MEMO = 400_000
+MEMO = 600_000
 #: Characters of the longest word in the memo.
 SHORT = 64
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -58,7 +59,8 @@ class StreamingEncoder:
         self.stable: dict[tuple[str, str], bool] = {}
         self.tails: dict[str, str] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Little-endian ids of short words, without the space that begins each.
+        self.memo: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by the merges themselves: the adjacent pair of the highest score joins, the leftmost of equals."""
@@ -152,9 +154,10 @@ class StreamingEncoder:
         known = self.ids.get(piece)
         return [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, bare: str) -> bytes:
+        word = SPACE + bare
         if len(word) > SHORT:
-            return tuple(itertools.chain.from_iterable(map(self._ids_of, self.stream(iter(word)))))
+            return np.fromiter(itertools.chain.from_iterable(map(self._ids_of, self.stream(iter(word)))), "<i4").tobytes()
         if len(self.memo) >= MEMO:
             self.memo.clear()
         if len(self.tails) >= 2 * MEMO:
@@ -167,7 +170,7 @@ class StreamingEncoder:
             else:
                 out += self._ids_of(piece)[::-1]
             rest = rest[: -len(piece)]
-        found = self.memo[word] = tuple(out[::-1])
+        found = self.memo[bare] = struct.pack(f"<{len(out)}i", *out[::-1])
         return found
 
     def _tail(self, prefix: str) -> str:
@@ -182,22 +185,26 @@ class StreamingEncoder:
             self.tails[prefix] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        """The library's ids of the text."""
+    def packed(self, text: str) -> bytes:
+        """The library's ids of the text, as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-            words = _CUT.split(SPACE + text.replace(" ", SPACE))
+            words = [w[1:] for w in _CUT.split(SPACE + text.replace(" ", SPACE))]
         else:
-            words = list(map(SPACE.__add__, text.split(" ")))
+            words = text.split(" ")
         known = list(map(self.memo.get, words))
         if None in known:
             known = [self._word(w) if k is None else k for w, k in zip(words, known, strict=True)]
-        return list(itertools.chain.from_iterable(known))
+        return b"".join(known)
+
+    def encode(self, text: str) -> list[int]:
+        """The library's ids of the text."""
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no UTF-8 give U+FFFD, as in the library."""
-        if self.byte_of.keys().isdisjoint(ids):
+    def decode(self, ids: list[int], bytes_too: bool = True) -> str:
+        """The text of ids; bytes that are no UTF-8 give U+FFFD, as in the library. bytes_too: whether byte pieces may be among them."""
+        if not bytes_too or self.byte_of.keys().isdisjoint(ids):
             text = "".join(map(self.surface.__getitem__, ids))
         else:
             parts, held = [], bytearray()
@@ -235,14 +242,16 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path)
+        last_byte = max(coder.byte_ids)
         for batch in batches:
             size, digest, same = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                ids = coder.encode(text)
+                packed = coder.packed(text)
+                ids = np.frombuffer(packed, "<i4")
                 size.append(len(ids))
-                digest.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-                same.append(coder.decode(ids) == text.replace(SPACE, " "))
+                digest.append(hashlib.sha256(packed).hexdigest())
+                same.append(coder.decode(ids.tolist(), bool((ids <= last_byte).any())) == text.replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_ids", "ids_sha256", "round_trip"])
 
     return own.mapInArrow(each, f"`{id_col}` {dict(own.dtypes)['id']}, n_ids long, ids_sha256 string, round_trip boolean")
@@ -250,9 +259,9 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
 def _encode_batch(path: str, column: pa.Array) -> pa.Array:
     coder = _encoder(path)
-    rows = [coder.encode(x.as_py() or "") for x in column]
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(ends[-1]))))
+    rows = [coder.packed(x.as_py() or "") for x in column]
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
 def _with_column(docs: DataFrame, source: str, target: str, kind: str, of) -> DataFrame:
