@@ -14,6 +14,8 @@ from .functions import text as X
 from .functions import vectors as V
 from .operators import catalog as C
 from .operators import chunking as K
+from .operators import evaluation as Y
+from .operators import feedback as Z
 from .operators import graph as G
 from .operators import lexical as L
 from .operators import ontology as O
@@ -21,7 +23,9 @@ from .operators import rag as R
 from .operators import reasoning as N
 from .operators import search as S
 from .operators import versioning as A
+from .plans import dispatch as P
 from .plans import hybrid as H
+from .plans import pipelines as J
 from .sources import files as B
 from .sources import relational as D
 from .streaming import events as E
@@ -795,6 +799,64 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.sessions(_t(spark, d, "events"))
 
 
+# --- dispatch, pipelines, evaluation, feedback ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) ** 2 AS x FROM embeddings), k AS (SELECT id, x FROM d ORDER BY x, id LIMIT 10)
+SELECT string_agg(text, chr(10) ORDER BY x, id) AS context FROM k JOIN documents ON id = doc_id"""
+)
+def chunk_context(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return P.context(P.run("CHUNKS", vectors=v, texts=texts, vector=S.vector_of(v, 0)))
+
+
+@query(
+    f"""WITH {_E}, d AS (SELECT 'customer:'||vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)) ** 2 AS x FROM embeddings),
+h AS (SELECT id, x FROM d ORDER BY x, id LIMIT 100), s AS (SELECT id, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x FROM h),
+t AS (SELECT src, rel, dst, coalesce(a.x, 3.5) + coalesce(b.x, 3.5) + 3.5 AS score FROM edges LEFT JOIN s a ON src = a.id LEFT JOIN s b ON dst = b.id WHERE a.id IS NOT NULL OR b.id IS NOT NULL)
+SELECT src||'|'||rel||'|'||dst AS id, src||' -> '||rel||' -> '||dst AS text, round(-score, 6) AS score FROM (SELECT * FROM t ORDER BY t.score, src, dst, rel LIMIT 5)"""
+)
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d).select(F.concat(F.lit("customer:"), "id").alias("id"), "vector")
+    return P.run("GRAPH_COMPLETION", vectors=v, nodes=_nodes(spark, d), edges=_edges(spark, d), vector=S.vector_of(v, "customer:1")).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def pending_items(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    done = o.select("o_orderkey", F.lit("p").alias("pipeline"), F.lit("main").alias("dataset"), F.when(F.col("o_orderstatus") == "F", J.COMPLETED).otherwise(J.STARTED).alias("status"))
+    return J.pending(o.select("o_orderkey"), done, "o_orderkey", "p", "main")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS question, m.metric, m.score FROM events, LATERAL (SELECT 'value' AS metric, value AS score UNION ALL SELECT 'error', CASE WHEN event_type = 'error' THEN 1.0 END) m WHERE m.score IS NOT NULL")
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    entry = lambda c: F.struct(c.cast("double").alias("score"), F.lit("r").alias("reason"))
+    e = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("question"), F.create_map(F.lit("value"), entry(F.col("value")), F.lit("error"), entry(F.when(F.col("event_type") == "error", 1.0))).alias("metrics"))
+    return Y.unnested(e).select("question", "metric", "score")
+
+
+@query("SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS golden_context FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def golden_contexts(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.struct("turn", "role", "text")
+    c = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    context = F.array(F.struct(F.lit("all").alias("title"), F.transform("t", lambda x: x["text"]).alias("sentences")))
+    users = F.filter(F.transform("t", lambda x, i: F.struct(F.lit("all").alias("title"), i.alias("sentence"), x["role"].alias("role"))), lambda x: x["role"] == "user")
+    return Y.golden_context(c.select("id", users.alias("supporting"), context.alias("context")))
+
+
+@query("SELECT vec_id AS src, (SELECT b.vec_id FROM embeddings b WHERE b.label <> 0 ORDER BY list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) DESC, b.vec_id LIMIT 1) AS dst, 'rule_associated_from' AS rel FROM embeddings a WHERE label = 0")
+def rule_origins(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return Z.origins(v.where("type = '0'"), v.where("type <> '0'"))
+
+
+@query()
+def score_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return C.bootstrap(_t(spark, d, "events"), "event_type", "value", samples=200)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
