@@ -51,7 +51,7 @@ def test_likeness_follows_what_is_shared():
     a, b = " ".join(word() for _ in range(400)), " ".join(word() for _ in range(400))
     assert P.likeness(one(a), one(a)) == 1 and P.likeness(one(a), one(b)) < 0.05
     assert P.likeness(one(a), one(b + a)) > 0.9
-    assert P.likeness(one(a), one("xyz " + a[:1000] + " q " + a[1000:])) > 0.9
+    assert P.likeness(one(a), one("xyz " + a[:1000] + " q " + a[1000:])) > 0.8
     assert 0.55 < P.likeness(one(a), one(P.edited(a, b))) < 0.75
     assert P.likeness(one(""), one("")) == 1 and P.likeness(one(""), one(a)) == 0
 
