@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids as I
+from .functions import temporal as M
 from .functions import text as X
 from .functions import vectors as V
 from .operators import catalog as C
@@ -429,10 +430,15 @@ def last_interactions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS time_at FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1704240000000 AND 1704326400000")
 def time_ids(spark: SparkSession, d: str) -> DataFrame:
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    at = M.epoch_millis(F.col("ts"))
     return _t(spark, d, "events").select("event_id", at.alias("time_at")).where(F.col("time_at").between(1704240000000, 1704326400000))
 
 
+@query("SELECT event_id, epoch_us(ts) // 1000 AS time_at, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp_str FROM events")
+def timestamp_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", M.parts(F.col("ts")).alias("p")).select("event_id", "p.time_at", "p.year", "p.month", "p.day", "p.hour", "p.timestamp_str")
+
+
 @query(f"WITH {_N}, {_E}, {_BOTH}, one AS (SELECT DISTINCT other AS id FROM both_ways WHERE id = 'nation:5'), two AS (SELECT DISTINCT other AS id FROM both_ways WHERE id IN (SELECT id FROM one)) SELECT id FROM nodes WHERE type = 'orders' AND id IN (SELECT id FROM one UNION SELECT id FROM two)")
 def events_within_two_hops(spark: SparkSession, d: str) -> DataFrame:
     near = G.reached(_edges(spark, d), _ids(spark, "nation:5"), 2).where("depth > 0").select("id")
@@ -601,7 +607,7 @@ def entity_versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00') WHERE r = 1")
 def version_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return A.as_of(_t(spark, d, "events").drop("props"), "user_id", "ts", "event_id", F.lit("2024-01-15 12:00:00").cast("timestamp")).select("user_id", "event_id", "event_type")
+    return A.as_of(_t(spark, d, "events").drop("props"), "user_id", "ts", "event_id", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3")
@@ -631,7 +637,7 @@ def version_differences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' AND event_type IN ('purchase', 'signup')")
 def changes_between(spark: SparkSession, d: str) -> DataFrame:
-    day = lambda s: F.lit(s).cast("timestamp")
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
     return A.changes_between(_t(spark, d, "events"), "ts", day("2024-01-10"), day("2024-01-12"), ["purchase", "signup"], "event_type").select("event_id", "user_id")
 
 
@@ -648,7 +654,7 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100")
 def audit_query(spark: SparkSession, d: str) -> DataFrame:
-    return A.query_log(_t(spark, d, "events"), "ts", since=F.lit("2024-01-20").cast("timestamp"), limit=100, event_type="error").select("event_id", "ts", "user_id")
+    return A.query_log(_t(spark, d, "events"), "ts", since=F.lit("2024-01-20").cast("timestamp_ntz"), limit=100, event_type="error").select("event_id", "ts", "user_id")
 
 
 # --- texts ---------------------------------------------------------------------------------------------------------------
