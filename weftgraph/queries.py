@@ -19,6 +19,7 @@ from .operators import evaluation as Y
 from .operators import feedback as Z
 from .operators import graph as G
 from .operators import lexical as L
+from .operators import models as Q
 from .operators import ontology as O
 from .operators import rag as R
 from .operators import reasoning as N
@@ -863,6 +864,60 @@ def score_intervals(spark: SparkSession, d: str) -> DataFrame:
     return C.bootstrap(_t(spark, d, "events"), "event_type", "value", samples=200)
 
 
+# --- nested records and collections --------------------------------------------------------------------------------------
+
+
+def _nested_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their orders as an array of structs."""
+    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("placed"))
+    return _t(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left")
+
+
+@query("SELECT 'customer:'||o_custkey AS src, 'order:'||o_orderkey AS dst, 'placed' AS rel FROM orders")
+def nested_edges(spark: SparkSession, d: str) -> DataFrame:
+    return Q.flattened(_nested_orders(spark, d), "customer", "c_custkey", {"placed": ("order", "o_orderkey")})[1]
+
+
+@query("SELECT 'customer:'||c_custkey AS id, 'customer' AS type FROM customer UNION ALL SELECT 'order:'||o_orderkey, 'order' FROM orders")
+def nested_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return Q.flattened(_nested_orders(spark, d), "customer", "c_custkey", {"placed": ("order", "o_orderkey")})[0].select("id", "type")
+
+
+@query(f"WITH {_N}, {_E} SELECT n.id, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS items FROM nodes n LEFT JOIN edges e ON n.id = e.src AND e.rel = 'c_nationkey' WHERE n.type IN ('customer', 'supplier') GROUP BY n.id")
+def nested_instances(spark: SparkSession, d: str) -> DataFrame:
+    return Q.nested(_nodes(spark, d).where("type IN ('customer', 'supplier')"), _edges(spark, d), "c_nationkey").select("id", F.array_join("items", ",").alias("items"))
+
+
+@query(f"WITH {_N}, {_E} SELECT id, type FROM nodes WHERE id NOT IN (SELECT dst FROM edges)")
+def root_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return Q.roots(_nodes(spark, d), _edges(spark, d)).select("id", "type")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'part_p_name' AS collection, trim(p_name) AS text FROM part WHERE trim(p_name) <> '' UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'part_p_brand', trim(p_brand) FROM part WHERE trim(p_brand) <> ''")
+def index_collections(spark: SparkSession, d: str) -> DataFrame:
+    return Q.collected(_t(spark, d, "part"), "part", "p_partkey", ["p_name", "p_brand"])
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang <> 'en' OR text <> lower(text)")
+def new_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return Q.new_chunks(docs.select(F.col("doc_id").alias("id"), "text"), docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))).select("id")
+
+
+@query("SELECT o_orderkey, 'orders:'||o_orderkey AS source_node_id, 'customer:'||o_custkey AS target_node_id, o_totalprice > 100000 AS heavy FROM orders")
+def edge_properties(spark: SparkSession, d: str) -> DataFrame:
+    p = Q.edge_properties(F.concat(F.lit("orders:"), "o_orderkey"), F.concat(F.lit("customer:"), "o_custkey"), F.lit("placed_by"), F.lit(None).cast("double"), F.create_map(F.lit("price"), F.col("o_totalprice")))
+    rows = _t(spark, d, "orders").select("o_orderkey", p.alias("p"))
+    return rows.select("o_orderkey", F.col("p")["source_node_id"].alias("source_node_id"), F.col("p")["target_node_id"].alias("target_node_id"), (F.col("p")["weight_price"].cast("double") > 100000).alias("heavy"))
+
+
+@query(f"WITH {_E} SELECT src AS source_node_id, dst AS destination_node_id, dst IN ('nation:1', 'nation:2') AS deleted FROM edges WHERE rel = 'c_nationkey'")
+def change_ledger(spark: SparkSession, d: str) -> DataFrame:
+    rows = Q.ledger(_edges(spark, d).where("rel = 'c_nationkey'"), "migrate", "u")
+    gone = rows.where("destination_node_id IN ('nation:1', 'nation:2')")
+    return Q.revoked(rows, gone).select("source_node_id", "destination_node_id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
