@@ -130,9 +130,10 @@ def _places(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """docs: id, text. Returns id and spans, an array of structs (lo, hi) of line numbers (hi exclusive) that match lines before them."""
     places = _places(docs)
-    known = places.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
+    # both sides of each join are plain shuffles of stored rows, which adaptive execution can split where one fingerprint is very common
+    known = stored(places.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first"), "known-lines")
     several = stored(places.join(known, "fp"), "repeated-lines")
-    first = several.where("id = first").groupBy("fp").agg(F.min(F.struct("place", "c0", "c1", "c2")).alias("r"))
+    first = stored(several.where("id = first").groupBy("fp").agg(F.min(F.struct("place", "c0", "c1", "c2")).alias("r")), "first-lines")
     both = several.join(first, "fp").where("id > first or place > r.place")
     # neighbours in order: left 1, left 2 | left 3, right 1 | right 2, right 3
     high = lambda c: (f"shiftrightunsigned({c}, 32)", f"shiftrightunsigned(r.{c}, 32)")
