@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import ids, text
-from weftgraph.operators import catalog, chunking, graph, lexical, ontology, rag, reasoning, search, versioning
+from weftgraph.operators import catalog, chunking, evaluation, feedback, graph, lexical, matching, models, ontology, rag, reasoning, search, versioning
+from weftgraph.plans import dispatch, pipelines
 from weftgraph.plans.hybrid import HybridQueryBuilder
 from weftgraph.sources import files
 from weftgraph.streaming import events
@@ -197,3 +198,55 @@ def test_streams_equal_batches(spark, tmp_path):
     assert last == expected
     events.ingested(stream, str(tmp_path / "out"), str(tmp_path / "check2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == source.count()
+
+
+def test_ontology_data_and_problems():
+    data = {"entity_types": {"A": {"properties": {"x": {"type": "integer", "required": True, "constraints": [{"type": "range", "value": (1, 2)}]}}}, "B": {"inherits_from": ["A", "Z"]}}, "relation_types": {"r": {"sources": ["Q"], "inverse_of": "s"}}}
+    one = ontology.Ontology.from_dict(data)
+    assert one.problems() == ["B: unknown parent Z", "r: unknown inverse s", "r: unknown type Q"]
+    assert ontology.Ontology.from_dict(one.to_dict()) == one
+    assert ontology.Ontology({"A": ontology.EntityType(parents=("B",)), "B": ontology.EntityType(parents=("A",))}, {}).problems() == ["A: inherits from itself", "B: inherits from itself"]
+
+
+def test_fuzzy_matching(spark):
+    found = matching.closest(table(spark, [("1", "person"), ("2", "persn"), ("3", "car"), ("4", None)], "id string, name string"), ["person", "place"])
+    assert {r.id: r.match for r in found.collect()} == {"1": "person", "2": "person", "3": None, "4": None}
+
+
+def test_nested_records(spark):
+    rows = spark.createDataFrame([(1, "a", [(10, "x"), (11, "y")]), (2, "b", [(10, "x")]), (3, "c", None)], "id int, name string, parts array<struct<k:int,v:string>>")
+    nodes, edges = models.flattened(rows, "thing", "id", {"parts": ("part", "k")})
+    assert {r.id for r in nodes.collect()} == {"thing:1", "thing:2", "thing:3", "part:10", "part:11"}
+    assert {(r.src, r.dst) for r in edges.collect()} == {("thing:1", "part:10"), ("thing:1", "part:11"), ("thing:2", "part:10")}
+    assert {r.id: r["items"] for r in models.nested(nodes, edges, "parts").collect()}["thing:1"] == ["part:10", "part:11"]
+    assert models.flattened(rows.drop("parts"), "thing", "id")[1].count() == 0
+
+
+def test_pipelines_record_and_skip(spark, tmp_path):
+    items = table(spark, [(1,), (2,)], "id int")
+    good = pipelines.Pipeline("double", (lambda df: df.withColumn("x", F.col("id") * 2), lambda df: df.where("x > 2")))
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    assert [r.x for r in pipelines.run(good, items, out, log, "main", 1).collect()] == [4]
+    assert not pipelines.may_run(pipelines.runs(spark, log), "double", "main")
+    with pytest.raises(Exception, match="nothing"):
+        pipelines.run(pipelines.Pipeline("bad", (lambda df: df.select("nothing"),)), items, out, log, "main", 2)
+    assert pipelines.may_run(pipelines.runs(spark, log), "bad", "main")
+    done = table(spark, [(1, "p", "main", "COMPLETED"), (2, "p", "other", "COMPLETED")], "id int, pipeline string, dataset string, status string")
+    assert [r.id for r in pipelines.pending(items, done, "id", "p", "main").collect()] == [2]
+
+
+def test_dispatch(spark):
+    texts = table(spark, [("1", "apple pie"), ("2", "pear")], "id string, text string")
+    assert dispatch.context(dispatch.run("CHUNKS_LEXICAL", texts=texts, query="apple")).first().context.startswith("apple pie")
+    with pytest.raises(ValueError):
+        dispatch.run("NONSENSE")
+
+
+def test_evaluation_and_feedback(spark):
+    answers = table(spark, [("1", "yes", "yes"), ("2", "a b", "a c")], "id string, answer string, golden_answer string")
+    assert {(r.id, r.EM, r.F1) for r in evaluation.evaluated(answers, ["EM", "F1"]).collect()} == {("1", 1.0, 1.0), ("2", 0.0, 0.5)}
+    with pytest.raises(ValueError):
+        evaluation.evaluated(answers, ["X"])
+    assert [r.id for r in evaluation.sampled(answers, 1).collect()] == [r.id for r in evaluation.sampled(answers.repartition(3), 1).collect()]
+    node, edges = feedback.interaction("q", "a", "c", table(spark, [("x", "y"), ("y", "z")], "src string, dst string"))
+    assert node.count() == 1 and {r.dst for r in edges.collect()} == {"x", "y", "z"}

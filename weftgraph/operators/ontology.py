@@ -84,6 +84,50 @@ class Ontology:
                 found.setdefault(k, v)
         return found
 
+    def problems(self) -> list[str]:
+        """What is wrong with the ontology itself: unknown parents or end types, cycles, inverses that don't exist."""
+        out = [f"{t}: unknown parent {p}" for t, e in self.entities.items() for p in e.parents if p not in self.entities]
+        out += [f"{t}: inherits from itself" for t, e in self.entities.items() if any(t in self.ancestors(p) for p in e.parents)]
+        for r, d in self.relations.items():
+            out += [f"{r}: unknown type {t}" for t in (*d.sources, *d.targets) if t not in self.entities]
+            if d.inverse_of is not None and d.inverse_of not in self.relations:
+                out.append(f"{r}: unknown inverse {d.inverse_of}")
+        return sorted(out)
+
+    @staticmethod
+    def from_dict(data: dict) -> Ontology:
+        """Builds an ontology from plain data, as read from JSON."""
+        entities = {
+            t: EntityType(
+                {k: Property(p.get("type", "string"), p.get("required", False), tuple(Constraint(c["type"], c["value"]) for c in p.get("constraints", ()))) for k, p in e.get("properties", {}).items()},
+                tuple(e.get("inherits_from", ())),
+                e.get("abstract", False),
+            )
+            for t, e in data.get("entity_types", {}).items()
+        }
+        relations = {
+            r: RelationType(tuple(d.get("sources", ())), tuple(d.get("targets", ())), d.get("least", 0), d.get("most"), d.get("symmetric", False), d.get("transitive", False), d.get("inverse_of"))
+            for r, d in data.get("relation_types", {}).items()
+        }
+        return Ontology(entities, relations)
+
+    def to_dict(self) -> dict:
+        """The inverse of from_dict()."""
+        return {
+            "entity_types": {
+                t: {
+                    "properties": {k: {"type": p.kind, "required": p.required, "constraints": [{"type": c.kind, "value": c.value} for c in p.constraints]} for k, p in e.properties.items()},
+                    "inherits_from": list(e.parents),
+                    "abstract": e.abstract,
+                }
+                for t, e in self.entities.items()
+            },
+            "relation_types": {
+                r: {"sources": list(d.sources), "targets": list(d.targets), "least": d.least, "most": d.most, "symmetric": d.symmetric, "transitive": d.transitive, "inverse_of": d.inverse_of}
+                for r, d in self.relations.items()
+            },
+        }
+
     def closure(self) -> list[tuple[str, str]]:
         """(type, ancestor) pairs, each type with itself as well."""
         return [(t, a) for t in self.entities for a in self.ancestors(t)]

@@ -19,6 +19,7 @@ from .operators import evaluation as Y
 from .operators import feedback as Z
 from .operators import graph as G
 from .operators import lexical as L
+from .operators import matching as W
 from .operators import models as Q
 from .operators import ontology as O
 from .operators import rag as R
@@ -598,6 +599,13 @@ def migrated_properties(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("properties")["maker"].alias("maker"), F.col("properties")["origin"].alias("origin"), F.map_contains_key("properties", "type").alias("has_type"))
 
 
+@query()
+def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
+    names = _t(spark, d, "part").select("p_partkey", F.regexp_replace("p_type", "A", "E").alias("name"))
+    kinds = [r[0] for r in _t(spark, d, "part").select("p_type").distinct().collect()]
+    return W.closest(names, kinds).select("p_partkey", "name", "match")
+
+
 # --- versions and audit --------------------------------------------------------------------------------------------------
 
 
