@@ -128,6 +128,29 @@ def test_grounding(spark):
     assert [round(x.r, 3) for x in risk] == [1.0, 0.0, 0.75, 0.15]
 
 
+def test_hallucinations_and_corrections(spark):
+    context = table(spark, [("e1", "Alpha", "Alpha is the first letter of the alphabet.")], "entity_id string, name string, content string")
+    claimed = rag.claims(table(spark, [("q", "Alpha is the first letter of the alphabet. Zorro is odd. nothing known here.")], "id string, text string"))
+    links = rag.provenance(claimed, context)
+    found = rag.detections(rag.grounded(claimed, links), rag.fabricated(rag.mentions(claimed), context))
+    assert {r.claim_index: (r.detection, r.severity) for r in found.collect()} == {0: (None, None), 1: ("fabricated_entity", "critical"), 2: ("ungrounded", "warning")}
+    r = rag.answer_risks(found).first()
+    assert round(r.risk, 6) == round(0.6 * 2 / 3 + 0.4 / 3 + 0.2, 6) and not r.is_trustworthy
+    assert rag.annotated(rag.grounded(claimed, links), rag.citation_numbers(links)).first().text == "Alpha is the first letter of the alphabet. [1] Zorro is odd. nothing known here."
+    assert rag.corrected(found).first().text == "Alpha is the first letter of the alphabet. nothing known here. Some statements were removed, as nothing supports them."
+
+
+def test_reasoning_modes(spark):
+    v = table(spark, [("a", "t", [1.0, 0.0]), ("b", "t", [0.9, 0.1]), ("c", "u", [0.0, 1.0])], "id string, type string, vector array<float>")
+    edges = table(spark, [("a", "b", "R"), ("b", "c", "R"), ("a", "c", "S")], "src string, dst string, rel string")
+    kinds = lambda mode: {(r.kind, r.dst) for r in reasoning.reasoned(v, edges, "a", ["R"], ["S"], ["u"], mode).collect()}
+    assert kinds("graph_only") == {("transitive", "c"), ("symmetric", "a")} and kinds("vector_only") == {("suggested", "c")}
+    assert kinds("hybrid") == kinds("graph_only") | kinds("vector_only")
+    with pytest.raises(ValueError):
+        kinds("nonsense")
+    assert {(r.id, r.hop) for r in reasoning.hops(v, edges.where("rel = 'R'"), "a", 2, 1).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
 def test_ontologies(spark):
     P, C = ontology.Property, ontology.Constraint
     one = ontology.Ontology({"A": ontology.EntityType({"x": P("integer", True)}), "B": ontology.EntityType({"y": P("string", False, (C("enum", ("p", "q")),))}, ("A",))}, {"r": ontology.RelationType(("A",), ("B",))})

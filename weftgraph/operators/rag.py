@@ -77,3 +77,47 @@ def context_checks(entities: DataFrame, now: Column, level: str = "moderate", up
 
 def trustworthy(confidence: Column, hallucination_risk: Column, n_warnings: Column) -> Column:
     return (confidence >= 0.7) & (hallucination_risk < 0.3) & (n_warnings == 0)
+
+
+PROPER = r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"
+
+
+def mentions(claimed: DataFrame, id_col: str = "id", text_col: str = "claim") -> DataFrame:
+    """Distinct proper nouns of each claim: id, claim_index, mention."""
+    return claimed.select(id_col, "claim_index", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PROPER), F.lit(0)))).alias("mention"))
+
+
+def fabricated(mentioned: DataFrame, names: DataFrame) -> DataFrame:
+    """Mentions that are no known name (a column name), whatever the case."""
+    return mentioned.withColumn("__key", F.lower("mention")).join(names.select(F.lower("name").alias("__key")).distinct(), "__key", "left_anti").drop("__key")
+
+
+def detections(claims_grounded: DataFrame, fabricated_mentions: DataFrame, id_col: str = "id") -> DataFrame:
+    """Claims with what speaks against them: detection (fabricated_entity before ungrounded, else null) and severity."""
+    bad = fabricated_mentions.select(id_col, "claim_index").distinct().withColumn("__bad", F.lit(True))
+    out = claims_grounded.join(bad, [id_col, "claim_index"], "left")
+    kind = F.when(F.col("__bad"), "fabricated_entity").when(~F.col("is_grounded"), "ungrounded")
+    return out.withColumn("detection", kind).withColumn("severity", F.when(F.col("detection") == "fabricated_entity", "critical").when(F.col("detection").isNotNull(), "warning")).drop("__bad")
+
+
+def answer_risks(detected: DataFrame, id_col: str = "id") -> DataFrame:
+    """Each answer's risk and whether it can be trusted: below 0.3 and nothing critical."""
+    n = detected.groupBy(id_col).agg(F.count_if(F.col("detection").isNotNull()).alias("u"), F.count_if(F.col("severity") == "critical").alias("c"), F.count("*").alias("n"))
+    value = risk(F.col("u"), F.col("c"), F.col("n"))
+    return n.select(id_col, value.alias("risk"), ((value < 0.3) & (F.col("c") == 0)).alias("is_trustworthy"))
+
+
+def annotated(claims_grounded: DataFrame, numbers: DataFrame, id_col: str = "id") -> DataFrame:
+    """Each answer with its claims' citation numbers in brackets after them: id, text."""
+    cited = claims_grounded.select(id_col, "claim_index", "claim", F.explode_outer("citations").alias("entity_id")).join(numbers, [id_col, "entity_id"], "left")
+    marks = F.array_join(F.transform(F.array_sort(F.collect_set("number")), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), "")
+    each = cited.groupBy(id_col, "claim_index", "claim").agg(marks.alias("m"))
+    parts = F.array_sort(F.collect_list(F.struct("claim_index", F.concat_ws(" ", "claim", F.nullif("m", F.lit(""))).alias("t"))))
+    return each.groupBy(id_col).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
+
+
+def corrected(detected: DataFrame, id_col: str = "id", note: str = "Some statements were removed, as nothing supports them.") -> DataFrame:
+    """Each answer without its critical claims, and a note if any went: id, text."""
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("claim_index", "claim", F.coalesce(F.col("severity") == "critical", F.lit(False)).alias("bad")))), lambda x: ~x["bad"])
+    rows = detected.groupBy(id_col).agg(F.array_join(F.transform(kept, lambda x: x["claim"]), " ").alias("text"), F.bool_or(F.coalesce(F.col("severity") == "critical", F.lit(False))).alias("cut"))
+    return rows.select(id_col, F.when(F.col("cut"), F.concat_ws(" ", F.nullif("text", F.lit("")), F.lit(note))).otherwise(F.col("text")).alias("text"))

@@ -45,3 +45,40 @@ def cardinality_violations(nodes: DataFrame, edges: DataFrame, rules: list[tuple
     counts = edges.groupBy(F.col("src").alias("id"), "rel").agg(F.count("*").alias("n"))
     checked = nodes.select("id", "type").join(F.broadcast(table), "type").join(counts, ["id", "rel"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return checked.where((F.col("n") < F.col("least")) | (F.col("n") > F.col("most"))).select("id", "rel", "n", "least", "most")
+
+
+def reasoned(vectors: DataFrame, edges: DataFrame, entity, transitive_rels: list[str], symmetric_rels: list[str], target_types: list[str], mode: str = "hybrid", max_depth: int = 3, k: int = 5) -> DataFrame:
+    """What can be inferred about an entity, by its relations, by near vectors, or both: kind, src, rel, dst, confidence. vectors: id, type, vector."""
+    from . import search
+
+    parts = []
+    if mode in ("graph_only", "hybrid", "sequential"):
+        start = edges.sparkSession.createDataFrame([(entity,)], edges.select(F.col("src").alias("id")).schema)
+        chains = transitive(edges, transitive_rels, start, max_depth).select(F.lit("transitive").alias("kind"), "src", "rel", "dst", F.lit(1.0).alias("confidence"))
+        reverse = symmetric(edges.where((F.col("src") == entity) | (F.col("dst") == entity)), symmetric_rels)
+        parts += [chains, reverse.select(F.lit("symmetric").alias("kind"), "src", "rel", "dst", F.lit(1.0).alias("confidence"))]
+    if mode in ("vector_only", "hybrid", "sequential"):
+        near = search.suggested_relations(vectors, entity, target_types, k)
+        parts.append(near.select(F.lit("suggested").alias("kind"), F.lit(entity).alias("src"), F.lit("RELATED_TO").alias("rel"), F.col("id").alias("dst"), "confidence"))
+    if not parts:
+        raise ValueError(f"no such mode: {mode}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def hops(vectors: DataFrame, edges: DataFrame, entity, n: int = 2, k: int = 5, max_frontier: int = 10_000) -> DataFrame:
+    """Entities reached in n steps, each to neighbours by relation and to the k nearest vectors: id, hop (the first). Frontiers are counted before they are broadcast."""
+    from . import search
+    from .graph import both_ways
+
+    seen = frontier = cut(vectors.where(F.col("id") == entity).select("id", F.lit(0).alias("hop")))
+    for hop in range(1, n + 1):
+        linked = both_ways(edges).join(frontier, "id", "left_semi").select(F.col("other").alias("id"))
+        near = search.batch_nearest(vectors, vectors.join(frontier, "id", "left_semi"), k + 1, max_frontier).select("id")
+        frontier = cut(linked.union(near).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen

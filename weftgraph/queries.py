@@ -552,6 +552,19 @@ def cardinality(spark: SparkSession, d: str) -> DataFrame:
     return N.cardinality_violations(_nodes(spark, d), e, [("nation", "in_segment", 1, 60)])
 
 
+@query()
+def hybrid_reasoning(spark: SparkSession, d: str) -> DataFrame:
+    v, _, edges = _similar_graph(spark, d)
+    located = edges.select("src", "dst", F.lit("LOCATED_IN").alias("rel"))
+    return N.reasoned(v, located, "customer:1", ["LOCATED_IN"], ["RELATED_TO"], ["1", "2"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def multi_hop(spark: SparkSession, d: str) -> DataFrame:
+    v, _, edges = _similar_graph(spark, d)
+    return N.hops(v, edges, "customer:1", 2)
+
+
 _ONTOLOGY = O.Ontology(
     {
         "Thing": O.EntityType({"p_name": O.Property("string", True, (O.Constraint("length", (1, 40)),))}),
@@ -761,6 +774,34 @@ def context_validation(spark: SparkSession, d: str) -> DataFrame:
     return R.context_checks(entities, F.to_date(F.lit("2024-06-01"))).select("doc_id", "checks_passed", F.round("validity_score", 9).alias("validity_score"), "is_valid")
 
 
+@query(
+    """WITH m AS (SELECT DISTINCT conv_id||'-'||turn AS id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS mention FROM conversations WHERE role = 'assistant')
+SELECT id, mention FROM m WHERE lower(mention) NOT IN (SELECT lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) FROM benchmark)"""
+)
+def fabricated_mentions(spark: SparkSession, d: str) -> DataFrame:
+    answers, context = _answers(spark, d)
+    claimed = answers.select("id", F.lit(0).alias("claim_index"), F.col("text").alias("claim"))
+    names = context.select(F.explode(F.regexp_extract_all("content", F.lit(R.PROPER), F.lit(0))).alias("name"))
+    return R.fabricated(R.mentions(claimed), names).select("id", "mention")
+
+
+@query()
+def hallucination_risks(spark: SparkSession, d: str) -> DataFrame:
+    answers, context = _answers(spark, d)
+    claimed = R.claims(answers)
+    names = context.select(F.explode(F.regexp_extract_all("content", F.lit(R.PROPER), F.lit(0))).alias("name"))
+    found = R.detections(R.grounded(claimed, R.provenance(claimed, context)), R.fabricated(R.mentions(claimed), names))
+    return R.answer_risks(found).select("id", F.round("risk", 9).alias("risk"), "is_trustworthy")
+
+
+@query()
+def annotated_answers(spark: SparkSession, d: str) -> DataFrame:
+    answers, context = _answers(spark, d)
+    claimed = R.claims(answers)
+    links = R.provenance(claimed, context)
+    return R.annotated(R.grounded(claimed, links), R.citation_numbers(links))
+
+
 # --- catalog, sessions, streams ------------------------------------------------------------------------------------------
 
 
