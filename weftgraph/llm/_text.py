@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; the temporary arrays take about fifty times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _rng = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

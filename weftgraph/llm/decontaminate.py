@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, with_own_names
+from ._spark import arrow_batches, lean, with_own_names
 from ._text import TOKEN, shingles, spans_hash, text_slices, words
 
 SEED, COVERAGE = 5, 0.8
@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind.simpleString()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_kind), pa.array(covers, pa.float64()), pa.array(counts, pa.int64())], names=[id_col, item_col, "coverage", "n_tiles"])
 
-        part = own.mapInArrow(each, schema)
+        part = own.mapInArrow(lean(each), schema)
         out = part if out is None else out.union(part)
     return own.sparkSession.createDataFrame([], schema) if out is None else out
 

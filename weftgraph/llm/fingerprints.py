@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, with_own_names
+from ._spark import arrow_batches, lean, with_own_names
 from ._text import spans_hash, text_slices
 
 LEAST, NORMAL, MOST = 16, 32, 96
@@ -178,4 +178,4 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             )
 
     kind = dict(own.dtypes)["id"]
-    return with_next(own).mapInArrow(each, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(own).mapInArrow(lean(each), f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

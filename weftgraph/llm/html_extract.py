@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches
+from ._spark import arrow_batches, lean
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|template|svg|math|iframe|object|select|title|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -273,4 +273,4 @@ def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*columns, text_col, size_col])
 
     kinds = dict(pages.dtypes)
-    return own.mapInArrow(each, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{text_col}` string", f"`{size_col}` long"]))
+    return own.mapInArrow(lean(each), ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{text_col}` string", f"`{size_col}` long"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, with_own_names
 from ._text import _power, mix, spans_hash, text_slices, words
 
 GRAM, WINDOW, REACH = 2, 3, 3
@@ -124,7 +124,7 @@ def _places(docs: DataFrame) -> DataFrame:
                 place = (at - lines.first[row]) << 2 | size
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array(place), *map(pa.array, packed)], names=["fp", "id", "place", "c0", "c1", "c2"])
 
-    return docs.where("id is not null and text <> ''").mapInArrow(each, f"fp long, id {dict(docs.dtypes)['id']}, place long, c0 long, c1 long, c2 long")
+    return docs.where("id is not null and text <> ''").mapInArrow(lean(each), f"fp long, id {dict(docs.dtypes)['id']}, place long, c0 long, c1 long, c2 long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], names=[*names, removed_col])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return joined.mapInArrow(each, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{removed_col}` long"]))
+    return joined.mapInArrow(lean(each), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{removed_col}` long"]))
 
 
 def _cut(text: bytes, lines: Lines, a: int, gone: np.ndarray, offset: int) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, with_own_names
 from ._text import distinct_by_row, mix, shingles, spans_hash, text_slices, words
 
 WIDTH, BANDS, ROWS, SKETCH_BITS = 5, 32, 5, 512
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(each, f"id {kind}, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(lean(each), f"id {kind}, n_shingles long, d1 long, d2 long, keys array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Dat
                 yield checked(group.slice(0, first), group.slice(first))
 
     kind = dict(docs.dtypes)["id"]
-    return rows.mapInArrow(each, f"a {kind}, b {kind}")
+    return rows.mapInArrow(lean(each), f"a {kind}, b {kind}")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -253,7 +253,7 @@ def _across(members: DataFrame, most: int) -> DataFrame:
         for group in by_key(batches, ("key", "i", "j")):
             yield compared(group)
 
-    return parts.mapInArrow(each, f"a {kind}, b {kind}").distinct()
+    return parts.mapInArrow(lean(each), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, with_own_names
 from ._text import WORD, spans_hash, text_slices, words
 from .toxicity import _logistic, held_out
 
@@ -96,7 +96,7 @@ def _features(docs: DataFrame, meta: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], names=["id", "x", *meta])
 
     kinds = dict(own.dtypes)
-    return own.mapInArrow(each, ", ".join([f"id {kinds['id']}", "x array<float>", *(f"{m} {kinds[m]}" for m in meta)]))
+    return own.mapInArrow(lean(each), ", ".join([f"id {kinds['id']}", "x array<float>", *(f"{m} {kinds[m]}" for m in meta)]))
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _sure(rows: DataFrame, views: list[View], view: int, good: bool) -> list[np.
             at = pa.array(keep)
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(z[view][keep])], names=[*batch.schema.names, "z"])
 
-    top = rows.mapInArrow(each, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "z double"])).orderBy(F.desc("z"), "id").limit(ADDED).toArrow().combine_chunks()
+    top = rows.mapInArrow(lean(each), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "z double"])).orderBy(F.desc("z"), "id").limit(ADDED).toArrow().combine_chunks()
     if not len(top):
         return [np.zeros((0, len(v.mean))) for v in views]
     return list(_views(top.select(range(n_meta)).to_batches()[0]))
@@ -196,7 +196,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch))], names=["id", "score"])
 
-    out = rows.mapInArrow(each, f"id {dict(rows.dtypes)['id']}, score double")
+    out = rows.mapInArrow(lean(each), f"id {dict(rows.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

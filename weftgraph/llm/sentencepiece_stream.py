@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches
+from ._spark import arrow_batches, lean
 
 SPACE = "▁"
 #: Entries of each memo; a full one is emptied.
@@ -48,6 +48,8 @@ class StreamingEncoder:
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
+        #: Each piece itself, so that memos hold one string of it.
+        self.same = {p: p for p in self.ids}
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
@@ -160,7 +162,7 @@ class StreamingEncoder:
             return np.fromiter(itertools.chain.from_iterable(map(self._ids_of, self.stream(iter(word)))), "<i4").tobytes()
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        if len(self.tails) >= 2 * MEMO:
+        if 2 * len(self.tails) >= 3 * MEMO:
             self.tails.clear()
         out, rest, tails, ids = [], word, self.tails, self.ids
         while rest:
@@ -177,10 +179,10 @@ class StreamingEncoder:
         """The last piece of a prefix of a short word: the same survivor as in stream(), found from the end and kept for other words."""
         known = self.tails.get(prefix)
         if known is None:
-            ids, n = self.ids, len(prefix)
+            same, n = self.same, len(prefix)
             for i in range(max(0, n - self.longest), n):
-                known = prefix[i:]
-                if (known in ids or i == n - 1) and self._fits(self._tail(prefix[:i]) if i else "", known):
+                known = same.get(prefix[i:]) or (prefix[i:] if i == n - 1 else None)
+                if known is not None and self._fits(self._tail(prefix[:i]) if i else "", known):
                     break
             self.tails[prefix] = known
         return known
@@ -254,7 +256,7 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 same.append(coder.decode(ids.tolist(), bool((ids <= last_byte).any())) == text.replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_ids", "ids_sha256", "round_trip"])
 
-    return own.mapInArrow(each, f"`{id_col}` {dict(own.dtypes)['id']}, n_ids long, ids_sha256 string, round_trip boolean")
+    return own.mapInArrow(lean(each), f"`{id_col}` {dict(own.dtypes)['id']}, n_ids long, ids_sha256 string, round_trip boolean")
 
 
 def _encode_batch(path: str, column: pa.Array) -> pa.Array:
@@ -276,4 +278,4 @@ def _with_column(docs: DataFrame, source: str, target: str, kind: str, of) -> Da
 
     docs_columns = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != target), f"`{target}` {kind}"])
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(lean(each), schema)

@@ -25,7 +25,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ._spark import arrow_batches, with_own_names
+from ._spark import arrow_batches, lean, with_own_names
 
 #: The split into pretokens of the byte-level family, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -214,4 +214,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "fits_chars"],
             )
 
-    return own.mapInArrow(each, f"`{id_col}` {dict(own.dtypes)['id']}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    return own.mapInArrow(lean(each), f"`{id_col}` {dict(own.dtypes)['id']}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, with_own_names
 from .near_dedup import min_hashes, shingle_sets
 
 #: The bound of the sample that labels are learned from.
@@ -35,7 +35,7 @@ LEAST_DOCS, LEAST_PURITY, WEAK_PURITY, LEAST_STEM, CONTEXT = 4, 0.95, 0.4, 4, 6
 #: A misspelt match's part of an exact one; a term of which more of the clean documents seem to hold misspellings is matched as it is.
 MISSPELT, MISSPELT_CLEAN = 0.7, 0.002
 FEATURES = 6
-MEMO = 400_000
+MEMO = 100_000
 END = "\0"
 _EDGE = " \t\n\r.,;:!?¡¿()[]{}<>|*#$%&@~^_=+/\\`´\"'“”„‟«»‹›‘’‚…·•-–—0123456789"
 _QUOTES = frozenset("\"“”„‟«»‹›‘’‚`´")
@@ -191,7 +191,7 @@ def _counted(docs: DataFrame, only: set[str] | None) -> DataFrame:
                 counts.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["node", "n"])
 
-    return docs.select("id", "text").mapInArrow(each, "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return docs.select("id", "text").mapInArrow(lean(each), "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def chosen_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
@@ -281,7 +281,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *map(pa.array, np.ascontiguousarray(marks.T))], names=["id", "text", "y", "m0", "m1", "m2"])
 
     kind = dict(own.dtypes)["id"]
-    train = stored(some.mapInArrow(each_marked, f"id {kind}, text string, y int, m0 long, m1 long, m2 long"), "labelled-marked")
+    train = stored(some.mapInArrow(lean(each_marked), f"id {kind}, text string, y int, m0 long, m1 long, m2 long"), "labelled-marked")
     for m in ("m0", "m1", "m2"):  # near copies prove a term no more than one of them does
         train = train.join(train.groupBy(m, "y").agg(F.min("id").alias("id")), ["id", m, "y"], "left_semi")
     train = stored(train.select("id", "text", "y"), "labelled")
@@ -299,7 +299,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [w for t in batch.column(1).to_pylist() for w in {x.strip(_EDGE) for x in (t or "").lower().split() if lexicon.of_token(x) == 2}]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
-    wrong = dict(map(tuple, train.where("y = 0").select("id", "text").mapInArrow(each_misspelt, "word string").groupBy("word").count().collect()))
+    wrong = dict(map(tuple, train.where("y = 0").select("id", "text").mapInArrow(lean(each_misspelt), "word string").groupBy("word").count().collect()))
     as_is = set()
     for term in terms:
         if term.endswith(END):
@@ -314,7 +314,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = np.array([lexicon.counts(t or "") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, np.ascontiguousarray(rows.T))], names=["y", "c0", "c1", "c2", "c3", "c4"])
 
-    rows = np.array(train.mapInArrow(each, "y int, c0 long, c1 long, c2 long, c3 long, c4 long").collect(), dtype=float)
+    rows = np.array(train.mapInArrow(lean(each), "y int, c0 long, c1 long, c2 long, c3 long, c4 long").collect(), dtype=float)
     return ToxicityModel(made_of, _logistic(features(rows[:, 1:]), rows[:, 0]).tolist())
 
 
@@ -327,7 +327,7 @@ def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
             scores = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    out = own.mapInArrow(each, f"id {dict(own.dtypes)['id']}, score double")
+    out = own.mapInArrow(lean(each), f"id {dict(own.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -347,4 +347,4 @@ def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(lean(each), docs.schema)
