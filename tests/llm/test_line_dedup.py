@@ -82,3 +82,35 @@ def test_defined_cases(spark):
     kept = L.dedup_lines(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3]
     assert L.without_repeats(df.where("doc_id < 0")).count() == 0
+
+
+def test_every_repeat_of_enough_words_goes_wherever_it_stands(spark):
+    rnd = random.Random(6)
+    fresh = iter(range(10**9))
+    own = lambda n: [f"own{next(fresh)}" for _ in range(n)]
+    passages = [sentence(rnd, n).rstrip(".").split() for n in (25, 26, 30, 40, 60, 120)]
+    rows = []
+    for k in range(120):
+        words = own(rnd.randint(0, 12))
+        for _ in range(rnd.randint(1, 3)):
+            p = rnd.choice(passages)
+            s = rnd.randint(0, len(p) - 20)
+            words += p[s : rnd.randint(s + 20, len(p))] + own(rnd.randint(1, 9))
+        rows.append((k, " ".join(words)))
+    found = run(spark, rows)
+    seen = set()
+    for k, text in rows:
+        words = text.split()
+        gone = [False] * len(words)
+        for j in range(len(words) - L.MIN_WORDS + 1):
+            window = tuple(words[j : j + L.MIN_WORDS])
+            if window in seen:
+                gone[j : j + L.MIN_WORDS] = [True] * L.MIN_WORDS
+            seen.add(window)
+        assert found[k].text.split() == [w for w, g in zip(words, gone, strict=True) if not g], k
+
+
+def test_short_sentences_repeat_from_four_on(spark):
+    line = "Yes it is. No it is not. Well then. Go on now."
+    found = run(spark, [(1, f"Before all. {line} After all."), (2, f"Other words.\n{line}\nEr.")])
+    assert found[1].n_removed_words == 0 and (found[2].text, found[2].n_removed_words) == ("Other words.\nEr.", 12)

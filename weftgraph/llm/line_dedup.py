@@ -1,18 +1,19 @@
-"""Removes runs of lines that repeat earlier ones, within and across documents.
+"""Removes passages that repeat earlier ones, within and across documents, word by word.
 
-A line here ends at a line break or at the end of a sentence ('.', '!' or '?' before white space), and is compared by its words.
-Hashes of two lines in a row are winnowed: of every three in a row the least is a fingerprint, so a repeat
-of four lines or more always shares one; a whole line of text (from break to break) of fewer lines is a fingerprint of its own. Each
-fingerprint's first place, by id and position, is its reference. At every later place the match is extended both ways, as long
-as the lines agree, over the three lines on either side, which reach the neighbouring fingerprints. What later places
-cover joins into runs, and a run of 25 words or more is deleted; so are whole lines of text of eight words or more inside a
-shorter run. Of each repeated line some earlier copy stays, as every deleted one equals one before it.
+Every run of 25 words or more that equals an earlier one, by id and position, is deleted, wherever it begins and ends. Hashes of eight words in a row are
+winnowed: each window of 25 words is owned by the least of its 18 hashes, its anchor, which depends on the window's words alone, so equal windows
+have equal anchors. A row for each anchor (one in about nine words) carries short hashes of all windows it owns. Anchors that come up once are dropped. Of the
+others, rows with equal windows all repeat the first of them; of these first ones the windows are compared one by one, by anchor and hash. So
+each window that has an earlier equal is found, whatever lies around it, and they join into runs of any length.
 
-Only fingerprints meet in the shuffle, counts are summed before it, and no group of equal ones is gathered in one task.
+Lines of text (from break to break) of eight to 24 words, and four sentences in a row that hold fewer than 25 words, are compared as a whole. A line is deleted
+if it has eight words or more and all of it repeats. Every word that is deleted lies in a passage that equals an earlier one.
+
+Only hashes meet in the shuffle, counts are summed before it, and no group of equal ones is gathered in one task.
 
 Defined cases: null and empty texts stay as they are, and so do rows with a null id. Documents that lose every word are dropped by
 dedup_lines(). Rows that repeat an id with the same text get the same deletions; other texts under the same id are compared in order of position.
-Very long texts are handled whole. Extra columns stay, whatever their names.
+In a text that repeats itself with some period the first period stays. Very long texts are handled whole. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,146 +28,152 @@ from pyspark.sql import functions as F
 from ._spark import arrow_batches, lean, stored, with_own_names
 from ._text import _power, mix, spans_hash, text_slices, words
 
-GRAM, WINDOW, REACH = 2, 3, 3
 MIN_WORDS, MIN_LINE_WORDS = 25, 8
+GRAM, SENTENCES = 8, 4
+WINDOW = MIN_WORDS - GRAM + 1
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-class Lines:
-    """The lines of a slice of texts, one entry each: hash, n_words, start and end (bytes), text_line (number of the line of text), and first (of each
-    row, one entry more than rows)."""
+class Words:
+    """The words of a slice of texts: start and end (bytes), text_line (number of the line of text), and first (of each row, one entry more than rows)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, first = words(data, offsets)
-        n = len(starts)
-        stop = np.zeros(n, bool)
-        newline = np.zeros(n, bool)
+        self.data = data
+        self.start, self.end, self.first = words(data, offsets)
+        n = len(self.start)
+        self.newline = np.zeros(n, bool)
         if n:
             feeds = np.cumsum(data == 10)
-            newline[:-1] = feeds[starts[1:]] > feeds[ends[:-1] - 1]
-            after = np.minimum(ends, len(data) - 1)
-            stop = newline | _STOP[data[ends - 1]] & _BLANK[data[after]]
-            rows_end = first[1:][np.diff(first) > 0] - 1
-            stop[rows_end] = newline[rows_end] = True
-        last = np.flatnonzero(stop)
-        begin = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
+            self.newline[:-1] = feeds[self.start[1:]] > feeds[self.end[:-1] - 1]
+            self.newline[self.first[1:][np.diff(self.first) > 0] - 1] = True
+        self.text_line = np.cumsum(self.newline) - self.newline
+
+    def hashes(self) -> np.ndarray:
+        """Running sums that _run_hash() takes."""
+        n = len(self.start)
         prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(spans_hash(data, starts, ends, fold=False) * _power("up", n), out=prefix[1:])
-        self.hash = mix((prefix[last + 1] - prefix[begin]) * _power("down", n + 1)[begin] + (last + 1 - begin).astype(np.uint64))
-        self.n_words = last + 1 - begin
-        self.start, self.end = starts[begin], ends[last]
-        ended = np.cumsum(newline[last])
-        self.text_line = ended - newline[last]
-        self.first = np.searchsorted(begin, first)
-
-
-def _fingerprints(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first line and number of lines of each fingerprint."""
-    h, first, n = lines.hash, lines.first, len(lines.hash)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    gram = mix(h[:-1] + (h[1:] << np.uint64(1)) + np.uint64(GRAM)) if n > 1 else np.zeros(0, np.uint64)
-    inside = row[:-1] == row[1:] if n > 1 else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    value, owner = gram[at], row[at]
-    chosen = np.zeros(len(at), bool)
-    if len(at):
-        padded = np.concatenate([value, np.zeros(WINDOW, np.uint64)])
-        who = np.concatenate([owner, np.full(WINDOW, -1)])
-        far = np.uint64(0xFFFFFFFFFFFFFFFF)
-        window = np.stack([np.where(who[k : k + len(at)] == owner, padded[k : k + len(at)], far) for k in range(WINDOW)])
-        full = who[WINDOW - 1 : WINDOW - 1 + len(at)] == owner
-        head = np.concatenate([[True], owner[1:] != owner[:-1]])
-        least = np.arange(len(at)) + window.argmin(axis=0)
-        chosen[least[full | head]] = True
-    grams = at[chosen]
-    # whole lines of text that are shorter than what the windows guarantee
-    text_begin = np.flatnonzero(np.concatenate([[True], (np.diff(lines.text_line) > 0) | (row[1:] != row[:-1])])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([text_begin, [n]]))
-    total = np.add.reduceat(lines.n_words, text_begin) if n else size
-    whole = (size <= GRAM + WINDOW - 2) & (total >= MIN_LINE_WORDS)
-    text_begin, size = text_begin[whole], size[whole]
-    mixed = np.zeros(len(text_begin), np.uint64)
-    for k in range(GRAM + WINDOW - 2):
-        with_k = size > k
-        mixed[with_k] += h[text_begin[with_k] + k] * np.uint64(2 * k + 3)
-    lines_hash = mix(mixed + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([gram[grams], lines_hash]), np.concatenate([grams, text_begin]), np.concatenate([np.full(len(grams), GRAM), size])
-
-
-def _neighbours(lines: Lines, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """32-bit hashes of REACH lines to the left and then to the right of each fingerprint; 0 beyond the text."""
-    short = (lines.hash >> np.uint64(32)) | np.uint64(1)
-    row = np.searchsorted(lines.first, at, "right") - 1
-    out = np.zeros((2 * REACH, len(at)), np.uint64)
-    for k in range(REACH):
-        left, right = at - 1 - k, at + size + k
-        ok = left >= lines.first[row]
-        out[k][ok] = short[left[ok]]
-        ok = right < lines.first[row + 1]
-        out[REACH + k][ok] = short[right[ok]]
-    return out
+        np.cumsum(spans_hash(self.data, self.start, self.end, fold=False) * _power("up", n), out=prefix[1:])
+        return prefix
+
+
+def _run_hash(prefix: np.ndarray, lo: np.ndarray, size: int | np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of size words from lo on."""
+    salt = np.asarray(size).astype(np.uint64) * np.uint64(4) + np.uint64(kind)
+    return mix((prefix[lo + size] - prefix[lo]) * _power("down", len(prefix))[lo] + salt)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first least value of each run of width values is."""
+    at, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        span += step
+    return at
+
+
+def _anchors(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word, number of words, and the bounds of their windows in the array of windows' hashes that comes last."""
+    prefix, first = text.hashes(), text.first
+    n = len(text.start)
+    count = np.diff(first)
+    row_end = np.repeat(first[1:], count)
+    starts = np.flatnonzero(np.arange(n) + MIN_WORDS <= row_end)
+    fp = at = size = np.zeros(0, np.int64)
+    fp, bounds, windows = fp.view(np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    if len(starts):
+        grams = _run_hash(prefix, np.arange(n - GRAM + 1), GRAM, 0)
+        anchor = _least(grams, WINDOW)[starts]
+        begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        bounds = np.append(begin, len(starts))
+        fp, at, size = grams[anchor[begin]], starts[begin], np.diff(bounds) + (MIN_WORDS - 1)
+        windows = (_run_hash(prefix, starts, MIN_WORDS, 1) >> np.uint64(32)).astype(np.uint32)
+    # lines of text and groups of sentences that are shorter than a window
+    line_end = np.flatnonzero(text.newline) + 1
+    line_at = np.concatenate([[0], line_end[:-1]]) if len(line_end) else line_end
+    line_size = line_end - line_at
+    ok = (line_size >= MIN_LINE_WORDS) & (line_size < MIN_WORDS)
+    line_at, line_size = line_at[ok], line_size[ok]
+    after = np.minimum(text.end, len(text.data) - 1)
+    end = np.flatnonzero(text.newline | _STOP[text.data[text.end - 1]] & _BLANK[text.data[after]]) + 1 if n else line_end
+    begin = np.concatenate([[0], end[:-1]]) if len(end) else end
+    some_at, some_end = begin[: max(0, len(end) - SENTENCES + 1)], end[SENTENCES - 1 :]
+    ok = (some_end - some_at < MIN_WORDS) & (some_end <= row_end[some_at])
+    some_at, some_size = some_at[ok], (some_end - some_at)[ok]
+    fp = np.concatenate([fp, _run_hash(prefix, line_at, line_size, 2), _run_hash(prefix, some_at, some_size, 3)])
+    bounds = np.concatenate([bounds, np.full(len(line_at) + len(some_at), bounds[-1])])
+    return fp, np.concatenate([at, line_at, some_at]), np.concatenate([size, line_size, some_size]), bounds, windows
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """docs: id, text. A row for each fingerprint: fp, id, at, size, c0 to c2 (neighbours, packed in pairs), own (hash of its first line)."""
+    """docs: id, text. A row for each anchor, and each short line or group of sentences: fp, id, at and size (words), windows (hashes, four bytes each; empty for the short ones)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in text_slices(batch.column(1)):
-                lines = Lines(data, offsets)
-                fp, at, size = _fingerprints(lines)
-                near = _neighbours(lines, at, size)
-                row = np.searchsorted(lines.first, at, "right") - 1
-                packed = [(near[2 * k] << np.uint64(32) | near[2 * k + 1]).view(np.int64) for k in range(REACH)]
-                place = (at - lines.first[row]) << 2 | size
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array(place), *map(pa.array, packed)], names=["fp", "id", "place", "c0", "c1", "c2"])
+                text = Words(data, offsets)
+                fp, at, size, bounds, windows = _anchors(text)
+                row = np.searchsorted(text.first, at, "right") - 1
+                packed = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(windows)])
+                columns = [pa.array(fp.view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array((at - text.first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), packed]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "id", "at", "size", "windows"])
+
+    return docs.where("id is not null and text <> ''").mapInArrow(lean(each), f"fp long, id {dict(docs.dtypes)['id']}, at int, size int, windows binary")
+
 
-    return docs.where("id is not null and text <> ''").mapInArrow(lean(each), f"fp long, id {dict(docs.dtypes)['id']}, place long, c0 long, c1 long, c2 long")
+def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp, windows, id, at to a row for each window: key, id, at."""
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        packed = [x.as_py() for x in batch.column(1)]
+        count = np.array([len(x) // 4 for x in packed], np.int64)
+        row = np.repeat(np.arange(len(batch)), count)
+        nth = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        key = mix(fp[row] + mix(np.frombuffer(b"".join(packed), np.uint32).astype(np.uint64) + np.uint64(1)))
+        at = batch.column(3).to_numpy(zero_copy_only=False)[row] + nth
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2).take(pa.array(row)), pa.array(at.astype(np.int32))], names=["key", "id", "at"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs: id, text. Returns id and spans, an array of structs (lo, hi) of line numbers (hi exclusive) that match lines before them."""
+    """docs: id, text. Returns id and spans, an array of numbers lo << 32 | hi of word numbers (hi exclusive) that equal words before them."""
     places = _places(docs)
-    # both sides of each join are plain shuffles of stored rows, which adaptive execution can split where one fingerprint is very common
-    known = stored(places.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first"), "known-lines")
+    # both sides of each join are plain shuffles, which adaptive execution can split where one fingerprint is very common
+    known = stored(places.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1"), "known-lines")
     several = stored(places.join(known, "fp"), "repeated-lines")
-    first = stored(several.where("id = first").groupBy("fp").agg(F.min(F.struct("place", "c0", "c1", "c2")).alias("r")), "first-lines")
-    both = several.join(first, "fp").where("id > first or place > r.place")
-    # neighbours in order: left 1, left 2 | left 3, right 1 | right 2, right 3
-    high = lambda c: (f"shiftrightunsigned({c}, 32)", f"shiftrightunsigned(r.{c}, 32)")
-    low = lambda c: (f"({c} & 4294967295)", f"(r.{c} & 4294967295)")
-    same = lambda x: f"{x[0]} = {x[1]} and {x[0]} <> 0"
-    reach = lambda a, b, c: f"case when not ({same(a)}) then 0 when not ({same(b)}) then 1 when not ({same(c)}) then 2 else 3 end"
-    at = F.shiftright("place", 2)
-    lo = at - F.expr(reach(high("c0"), low("c0"), high("c1")))
-    hi = at + F.col("place").bitwiseAND(3) + F.expr(reach(low("c1"), high("c2"), low("c2")))
-    spans = both.select("id", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
-    return spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
-def _deleted(lines: Lines, row: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Which lines of a row go."""
-    a, b = int(lines.first[row]), int(lines.first[row + 1])
+    blocks = stored(several.groupBy("fp", "windows", "total").agg(F.min(F.struct("id", "at")).alias("r"), F.count("*").alias("n")), "first-lines")
+    later = "id <> r.id or at <> r.at"
+    whole = several.join(blocks.where("n > 1").select("fp", "windows", "r"), ["fp", "windows"]).where(later).select("id", "at", (F.col("at") + F.col("size")).alias("hi"))
+    # a window of a later block of equal ones is covered, and has an earlier equal in the first block
+    kind = dict(docs.dtypes)["id"]
+    windows = blocks.where("n < total and length(windows) > 0").select("fp", "windows", "r.id", "r.at").mapInArrow(lean(_each_window), f"key long, id {kind}, at int")
+    least = windows.groupBy("key").agg(F.min(F.struct("id", "at")).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", "r")
+    single = windows.join(least, "key").where(later).select("id", "at", (F.col("at") + MIN_WORDS).alias("hi"))
+    spans = whole.unionAll(single).select("id", F.expr("shiftleft(cast(at as long), 32) + hi").alias("span"))
+    return spans.groupBy("id").agg(F.collect_set("span").alias("spans"))
+
+
+def _deleted(text: Words, row: int, spans: np.ndarray) -> np.ndarray:
+    """Which words of a row go."""
+    a, b = int(text.first[row]), int(text.first[row + 1])
     n = b - a
-    change = np.zeros(n + 1, np.int64)
-    for lo, hi in spans:
-        if hi <= n:
-            change[lo] += 1
-            change[hi] -= 1
+    lo, hi = spans >> 32, spans & 0xFFFFFFFF
+    lo, hi = lo[hi <= n], hi[hi <= n]
+    change = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
     covered = np.cumsum(change)[:n] > 0
     out = np.zeros(n, bool)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    size, text_line = lines.n_words[a:b], lines.text_line[a:b]
+    text_line = text.text_line[a:b]
     for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if size[s:e].sum() >= MIN_WORDS:
+        if e - s >= MIN_WORDS:
             out[s:e] = True
             continue
         for t in np.unique(text_line[s:e]).tolist():
             x, y = np.searchsorted(text_line, [t, t + 1])
-            if s <= x and y <= e and size[x:y].sum() >= MIN_LINE_WORDS:
+            if s <= x and y <= e and y - x >= MIN_LINE_WORDS:
                 out[x:y] = True
     return out
 
@@ -186,17 +193,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             removed = np.zeros(len(batch), np.int64)
             texts = batch.column(at)
             if len(rows):
-                spans_of = [[(x["lo"], x["hi"]) for x in found[i].as_py()] for i in rows.tolist()]
+                spans_of = [found[i].values.to_numpy(zero_copy_only=False) for i in rows.tolist()]
                 some = texts.take(pa.array(rows))
                 changed = {}
                 for lo, hi, data, offsets in text_slices(some):
-                    lines = Lines(data, offsets)
+                    own = Words(data, offsets)
                     for k in range(lo, hi):
-                        gone = _deleted(lines, k - lo, spans_of[k])
+                        gone = _deleted(own, k - lo, spans_of[k])
                         if gone.any():
-                            a = int(lines.first[k - lo])
-                            removed[rows[k]] = lines.n_words[a : a + len(gone)][gone].sum()
-                            changed[int(rows[k])] = _cut(data[offsets[k - lo] : offsets[k - lo + 1]].tobytes(), lines, a, gone, int(offsets[k - lo]))
+                            a = int(own.first[k - lo])
+                            removed[rows[k]] = gone.sum()
+                            changed[int(rows[k])] = _cut(data[offsets[k - lo] : offsets[k - lo + 1]].tobytes(), own, a, gone, int(offsets[k - lo]))
                 if changed:
                     listed = texts.to_pylist()
                     for i, text in changed.items():
@@ -210,16 +217,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(lean(each), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{removed_col}` long"]))
 
 
-def _cut(text: bytes, lines: Lines, a: int, gone: np.ndarray, offset: int) -> str:
-    """The text without the lines that go; what stays keeps the white space before it."""
-    out, last = [], 0
-    for k, g in enumerate(gone.tolist()):
-        s, e = int(lines.start[a + k]) - offset, int(lines.end[a + k]) - offset
-        if g:
-            last = e
-        else:
-            out.append(text[last:e])
-            last = e
+def _cut(text: bytes, found: Words, a: int, gone: np.ndarray, offset: int) -> str:
+    """The text without the words that go; what stays keeps the white space before it."""
+    n = len(gone)
+    end = found.end[a : a + n] - offset
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (~gone).astype(np.int8), [0]])))
+    out = [text[(end[s - 1] if s else 0) : end[e - 1]] for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     return b"".join(out).strip().decode()
 
 
