@@ -87,3 +87,9 @@ def test_redaction_and_defined_cases(spark):
     out = P.redacted(df)
     assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == {1: "mail é [email] now", 2: None, 3: "", 4: "none"}
     assert P.personal_data(df.union(df)).count() == 8 and P.personal_data(df.where("doc_id < 0")).count() == 0
+
+
+def test_cards_of_single_digits(spark):
+    digits = "4111111111111111"
+    found = check(spark, [(i, f"pay {sep.join(digits)} now") for i, sep in enumerate(" -")] + [(2, "a 1 b 2"), (3, "4-1 1-1 1 1 1 1 1 1 1 1 1 1 1-1")])
+    assert [found[i].n_card for i in range(4)] == [1, 1, 0, 1]

@@ -114,7 +114,7 @@ def _described(text: str, kind: str) -> str:
 def proposals(docs: DataFrame) -> DataFrame:
     """docs: id, text. Returns id and found, an array of proposals: start, end, base (confirmed by the base patterns) and the features."""
     df = docs.select("id", F.translate(F.coalesce("text", F.lit("")), "\u0001", "\u0002").alias("t"))
-    guard = {"email": "t like '%@%'", "ip": "t rlike r'[0-9]\\.[0-9]'", "card": "t rlike '[0-9]{2}'", "phone": "t like '%+%'"}
+    guard = {"email": "t like '%@%'", "ip": "t rlike r'[0-9]\\.[0-9]'", "card": "t rlike '[0-9][ -]?[0-9]'", "phone": "t like '%+%'"}
     wide_guard = {"email": "lower(t) rlike r'[(\\[{] ?at ?[)\\]}]'", "phone": "t rlike r'[0-9][)]?[ ./-]{1,2}[0-9]'"}
     few = {"email": "true", "ip": "true", "card": _digit_count("x.m", 13, 19), "phone": _digit_count("x.m", 7, 24)}
     nothing = "cast(array() as array<struct<m:string,gap:string>>)"
