@@ -91,3 +91,18 @@ def test_labels_of_one_kind_or_none_and_empty_tables(spark, tables):
     for some in (labels.where("doc_id < 0"), labels.where("toxic = 0"), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")):
         assert {r.predicted for r in T.toxicity(docs, some).collect()} == {0}
     assert T.toxicity(docs.where("doc_id < 0"), labels).count() == 0
+
+
+def test_misspelt_stems_and_weak_terms():
+    lexicon = T.Lexicon(["idiot", "scum" + T.END], ["worthless" + T.END, "zorgl"], clean_words=frozenset(["idiolt"]), loose=True)
+    expected = {"idiots": 1, "idjot": 2, "idjots": 2, "idiott": 1, "iddiotic": 2, "idio": 2, "idiom": 2, "idiolt": 0, "idiosyncratic": 0, "scim": 0, "worthless": 3, "wortless": 4, "wrthles": 4, "wrthle": 0, "zorgly": 3, "zurgle": 4, "zurgel": 0}
+    assert {w: lexicon.match(w) for w in expected} == expected
+    assert lexicon.counts("idjots are wortless")[:4] == (0, 1, 1, 0)
+
+
+def test_misspelt_words_of_a_learned_stem_are_toxic(spark, tables):
+    docs, labels = tables
+    more = spark.createDataFrame([(3000, "you zurgle zorgla zurgly", "en", "s"), (3001, "ba do zurna", "en", "s")], docs.schema)
+    found = {r.doc_id: r.predicted for r in T.toxicity(docs.unionAll(more), labels).where("doc_id >= 3000").collect()}
+    only = spark.createDataFrame([(3002, "you zurgle", "en", "s")], docs.schema)
+    assert found == {3000: 1, 3001: 0} and [r.predicted for r in T.toxicity(docs.unionAll(only), labels).where("doc_id = 3002").collect()] == [1]

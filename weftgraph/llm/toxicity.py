@@ -4,7 +4,8 @@ Terms are learned from labelled documents: nodes of the trie of their words that
 chance allows. Where one word carries a node's evidence the term is that word, else it is a stem, which any ending may follow. Nodes that come
 up in clean documents too, but in toxic ones several times as often, are weak terms, which count apart.
 At scoring time words run through the product of the lexicon's trie and Levenshtein automata (one edit for words of five letters,
-two from nine), built state by state as words need it, so most words are rejected after two or three letters. Every match is then
+two from nine; stems and weak terms alike, and what follows a stem is free if the stem's last letter is in place), built state by state as words need it, so
+most words are rejected after two or three letters. Misspellings that clean labelled documents hold don't count. Every match is then
 looked at with the six words on either side: quotation marks around it or words of reporting make it a quotation, which counts apart. A
 logistic model over the document's matches, exact, misspelt and quoted, gives the score.
 
@@ -52,12 +53,14 @@ def edits_for(term: str) -> int:
 class Lexicon:
     """Terms in a trie (words end in END; others are stems), and its product with Levenshtein automata."""
 
-    def __init__(self, terms: list[str], weak: list[str] = (), as_is: frozenset[str] = frozenset(), clean_words: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[str], weak: list[str] = (), as_is: frozenset[str] = frozenset(), clean_words: frozenset[str] = frozenset(), loose: bool = False):
+        """as_is: terms that take no edits; clean_words: words that are no misspellings; loose: stems and weak terms take edits too."""
         self.clean_words = clean_words
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]  # most edits of the word that ends here
         self.stem: list[int] = [0]  # 1: a stem ends here, 3: a weak one
-        self.weak_word: list[bool] = [False]
+        self.weak_word: list[int] = [-1]
+        self.stem_edits: list[int] = [0]
         for term, is_weak in [*((t, False) for t in terms), *((t, True) for t in weak)]:
             node = 0
             for c in term.removesuffix(END):
@@ -66,28 +69,31 @@ class Lexicon:
                     self.children.append({})
                     self.word.append(-1)
                     self.stem.append(0)
-                    self.weak_word.append(False)
+                    self.weak_word.append(-1)
+                    self.stem_edits.append(0)
                 node = self.children[node][c]
+            edits = 0 if term in as_is else edits_for(term.removesuffix(END))
             if term.endswith(END) and is_weak:
-                self.weak_word[node] = True
+                self.weak_word[node] = edits if loose else 0
             elif term.endswith(END):
-                self.word[node] = 0 if term in as_is else edits_for(term.removesuffix(END))
-            else:
+                self.word[node] = edits
+            elif not (is_weak and self.stem[node]):
                 self.stem[node] = 3 if is_weak else 1
+                self.stem_edits[node] = edits if loose else 0
         #: Most edits below each node, so that branches of short words take none.
-        self.most = [max(0, w) for w in self.word]
+        self.most = [max(0, *x) for x in zip(self.word, self.weak_word, self.stem_edits, strict=True)]
         for n in range(len(self.children) - 1, -1, -1):
             self.most[n] = max([self.most[n], *(self.most[c] for c in self.children[n].values())])
-        self.known: dict[frozenset, int] = {}
+        self.known: dict[tuple[frozenset, int], int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.stems: list[int] = []
-        self.accepts: list[int] = []
+        self.accepts: list[set[int]] = []
         self.start = self._state({(0, 0)})
         self.memo: dict[str, int] = {}
 
-    def _state(self, nodes: set[tuple[int, int]]) -> int:
-        """The number of a set of (trie node, edits); -1 is the dead one. Letters left out are followed here."""
+    def _state(self, nodes: set[tuple[int, int]], stem: int = 0) -> int:
+        """The number of a set of (trie node, edits), with a misspelt stem (as match() says it) that just ended; -1 is the dead one. Letters left out are followed here."""
         least: dict[int, int] = {}
         stack = sorted(nodes, key=lambda x: -x[1])
         while stack:
@@ -99,40 +105,47 @@ class Lexicon:
         if not least:
             return -1
         key = frozenset(least.items())
-        if key not in self.known:
-            self.known[key] = len(self.sets)
+        if (key, stem) not in self.known:
+            self.known[key, stem] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.stems.append(min((self.stem[n] for n, e in key if e == 0 and self.stem[n]), default=0))
-            exact = any(e == 0 and self.word[n] >= 0 for n, e in key)
-            misspelt = any(0 < e <= self.word[n] for n, e in key)
-            self.accepts.append(1 if exact else 2 if misspelt else 3 if any(e == 0 and self.weak_word[n] for n, e in key) else 0)
-        return self.known[key]
+            self.stems.append(min((k for k in (stem, *(self.stem[n] for n, e in key if e == 0)) if k), default=0))
+            found = {1 for n, e in key if e == 0 and self.word[n] >= 0} | {3 for n, e in key if e == 0 and self.weak_word[n] >= 0}
+            found |= {2 for n, e in key if 0 < e <= self.word[n]} | {4 for n, e in key if 0 < e <= self.weak_word[n]}
+            found |= {self.stem[n] + 1 for n, e in key if 0 < e <= self.stem_edits[n]}
+            self.accepts.append(found)
+        return self.known[key, stem]
 
     def _move(self, state: int, c: str) -> int:
-        after = set()
+        after, stem = set(), 0
         for n, e in self.sets[state]:
             if c in self.children[n]:
-                after.add((self.children[n][c], e))
+                to = self.children[n][c]
+                after.add((to, e))
+                if 0 < e <= self.stem_edits[to]:
+                    stem = min(stem or 9, self.stem[to] + 1)
             after.add((n, e + 1))
             after |= {(k, e + 1) for k in self.children[n].values()}
-        self.moves[state][c] = found = self._state(after)
+        self.moves[state][c] = found = self._state(after, stem)
         return found
 
     def match(self, word: str) -> int:
-        """0: no term; 1: a term as it is, or a word of a stem; 2: a misspelt term; 3: a weak term, or a word of a weak stem."""
-        state, weak = self.start, 0
+        """0: no term; 1: a term as it is, or a word of a stem; 2: a misspelt term or stem; 3: a weak term, or a word of a weak stem; 4: a misspelt one of these."""
+        state, found = self.start, set()
         for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
-                return weak
+                break
             if self.stems[state]:
-                weak = self.stems[state]
-                if weak == 1:
+                if self.stems[state] == 1:
                     return 1
-        found = self.accepts[state]
-        return weak if not found or found == 2 and word in self.clean_words else found
+                found.add(self.stems[state])
+        else:
+            found |= self.accepts[state] if state >= 0 else set()
+        if found and word in self.clean_words:
+            found -= {2, 4}
+        return min(found, default=0)
 
     def of_token(self, token: str) -> int:
         """match() for a token with its punctuation, kept in a bounded memo."""
@@ -152,7 +165,7 @@ class Lexicon:
         if any(found):
             for i, k in enumerate(found):
                 if k:
-                    counts[3 if _is_quoted(tokens, i) else k - 1] += 1
+                    counts[3 if _is_quoted(tokens, i) else min(k, 3) - 1] += 1
         return (*counts, len(tokens))
 
 
@@ -294,19 +307,19 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms, weak = chosen_terms(toxic, clean, n_toxic, n_clean)
 
     def each_misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms, weak)
+        lexicon = Lexicon(terms, weak, loose=True)
         for batch in batches:
-            found = [w for t in batch.column(1).to_pylist() for w in {x.strip(_EDGE) for x in (t or "").lower().split() if lexicon.of_token(x) == 2}]
+            found = [w for t in batch.column(1).to_pylist() for w in {x.strip(_EDGE) for x in (t or "").lower().split() if lexicon.of_token(x) in (2, 4)}]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
     wrong = dict(map(tuple, train.where("y = 0").select("id", "text").mapInArrow(lean(each_misspelt), "word string").groupBy("word").count().collect()))
     as_is = set()
-    for term in terms:
-        if term.endswith(END):
-            alone = Lexicon([term])
+    for term in (*terms, *weak):
+        if edits_for(term.removesuffix(END)):
+            alone = Lexicon([term], loose=True)
             if sum(n for w, n in wrong.items() if alone.match(w) == 2) > MISSPELT_CLEAN * n_clean:
                 as_is.add(term)
-    made_of = (terms, weak, frozenset(as_is), frozenset(wrong))
+    made_of = (terms, weak, frozenset(as_is), frozenset(wrong), True)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*made_of)
