@@ -106,3 +106,17 @@ def test_misspelt_words_of_a_learned_stem_are_toxic(spark, tables):
     found = {r.doc_id: r.predicted for r in T.toxicity(docs.unionAll(more), labels).where("doc_id >= 3000").collect()}
     only = spark.createDataFrame([(3002, "you zurgle", "en", "s")], docs.schema)
     assert found == {3000: 1, 3001: 0} and [r.predicted for r in T.toxicity(docs.unionAll(only), labels).where("doc_id = 3002").collect()] == [1]
+
+
+def test_rarer_siblings_of_a_term_are_terms():
+    def counted(words):
+        nodes = {}
+        for w, n in words.items():
+            for x in T._nodes(w):
+                nodes[x] = nodes.get(x, 0) + n
+        return nodes
+
+    strong, weak = T.chosen_terms(counted({"idiot": 1000, "idiots": 40, "idiocy": 60, "scumbag": 500, "fool": 90, "foolish": 9}), counted({"idle": 300, "fool": 40}), 3000, 27000)
+    lexicon = T.Lexicon(strong, weak)
+    assert [lexicon.match(w) for w in ("idiot", "idiocy", "idiots", "scumbag", "idle")] == [1, 1, 1, 1, 0] and lexicon.match("fool") == 3
+    assert len({*strong, *weak}) == len(strong) + len(weak)

@@ -225,21 +225,27 @@ def chosen_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         return sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a, n + 1))
 
     def picked(least: float, but: set[str]) -> list[str]:
-        found = {n for n, a in toxic.items() if a >= LEAST_DOCS and purity(n) >= max(least, 2 * share) and n not in but and by_chance(n) * tests < 0.01}
-        terms = []
+        found = {n for n, a in toxic.items() if a >= LEAST_DOCS and purity(n) >= max(least, 2 * share) and by_chance(n) * tests < 0.01}
+        terms: list[str] = []
+        covered, above = set(but), set()  # terms so far, and all nodes on the way to them
         for n in sorted(found):
-            if any(n[:k] in found for k in range(LEAST_STEM, len(n))):
+            if n in above or any(n[:k] in covered for k in range(1, len(n) + 1)):
                 continue
+            top = n
             while True:  # down to where the evidence parts
                 heir = max(below.get(n, []), key=lambda x: (toxic[x], x), default=None)
                 if heir is None or toxic[heir] < 0.9 * toxic[n]:
                     break
                 n = heir
-            terms.append(n)
+            # what else is below the node gets its own turn
+            above.update(n[:k] for k in range(len(top), len(n)))
+            if n not in covered:
+                covered.add(n)
+                terms.append(n)
         return terms
 
     strong = picked(LEAST_PURITY, set())
-    return strong, [t for t in picked(WEAK_PURITY, set()) if t not in strong]
+    return strong, picked(WEAK_PURITY, set(strong))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
