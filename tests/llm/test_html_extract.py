@@ -58,3 +58,20 @@ def test_defined_cases(spark):
     n = len(LONG)
     assert found == [(0, None, LONG, n), (1, "u", "", 0), (2, "u", "", 0), (3, "u", "", 0), (4, "u", LONG, n), (4, "u", LONG, n)]
     assert extracted(df.where("page_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("names", ["class='site no-sidebar'", "class='content has-sidebar'", "class='main with-comments'", "id='hasSidebar'", "class='content right-sidebar'", "class='page-with-header'", "class='sidebar'", "id='form-wrap'"])
+def test_names_around_the_article_do_not_drop_it(names):
+    body = f"<div {names}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div class='site-footer'><p>Contact us, or call.</p></div>"
+    assert main_text(page(body)) == f"Head {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='content'>{}</div>"])
+def test_headings_and_paragraphs_named_after_regions_stay(wrap):
+    body = wrap.format(f"<h2 class='section-header'>Head</h2><p>{LONG}</p><p class='feedback'>{LONG}</p><p class='ad'>Buy now.</p><div class='share-buttons'>Share</div>")
+    assert main_text(page(body)) == f"Head {LONG} {LONG}"
+
+
+def test_named_elements_that_hold_the_main_element_stay():
+    body = f"<div class='sidebar'><main><p>{LONG}</p></main></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(page(body)) == LONG

@@ -2,7 +2,9 @@
 
 A page becomes a tree (tags may be left open, as browsers allow). Elements that never hold the article go first: scripts, styles, forms,
 navigation, page headers and footers, asides, and those whose class, id or role says advert, menu, sidebar, notice, comments and
-the like. Each paragraph then passes points for its length and commas to its ancestors: all to its parent, half to the parent above,
+the like. Of a name such as no-sidebar or has-comments the last word doesn't count. Elements whose class or id is such a word as a whole stay only if they
+hold the main element or three quarters of the page's text; those where it is one part of a name (site-header) stay also if another class or the id says content, or
+if they hold half of the text, or an article with a quarter of it. Headings and paragraphs of an article stay if they are named after a region of a page (header, feedback). Each paragraph then passes points for its length and commas to its ancestors: all to its parent, half to the parent above,
 a third of that to the others, and a container's points shrink by its share of linked text. The best container and those siblings that look like
 parts of the article are kept. White space inside a block becomes one space, and blocks join by one space in page order.
 
@@ -39,6 +41,10 @@ _BAD_WORD = frozenset(
     "comment comments commentlist respond reply replies disqus discussion feedback reader-comments "
     "share sharing social related recommended recommendations trending popular more-stories skip search searchbox form hidden tags tagcloud byline-links author-bio toc".split()
 )
+_UNLESS = frozenset("no not non has have with without hide".split())
+#: Words for regions of a page, which say nothing about a heading or a paragraph inside an article.
+_REGION = frozenset("header masthead side aside rail footer foot legal notice notices alert popular trending discussion feedback form search menu toc".split())
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -116,22 +122,52 @@ def parse(page: str) -> Node:
     return root
 
 
-def _named(node: Node) -> tuple[bool, bool]:
-    """Whether the attributes speak against the element, and for it."""
+def _named(node: Node) -> tuple[int, bool, set[str]]:
+    """How much the attributes speak against the element (0 to 3: not, by a part of a name, by a whole name, hidden or by its role), whether one of its names is good, and
+    the words against it."""
     if not node.attrs or node.attrs.isspace():
-        return False, False
+        return 0, False, set()
     attrs = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(node.attrs)}
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True, False
+        return 3, False, set()
     if attrs.get("role", "").lower() in _BAD_ROLE:
-        return True, False
-    found = [w.lower() for v in (attrs.get("class", ""), attrs.get("id", "")) if v for w in [*_SPLIT.split(v), *v.split()]]
-    good = any(w in _GOOD_WORD for w in found)
-    return any(w in _BAD_WORD for w in found), good
+        return 3, False, set()
+    bad, good, against = 0, False, set()
+    for name in (*attrs.get("class", "").split(), *attrs.get("id", "").split()):
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        found = {w for i, w in enumerate(words) if w in _BAD_WORD and not (i and words[i - 1] in _UNLESS)}
+        if name.lower() in _BAD_WORD:
+            found.add(name.lower())
+        if found:
+            against |= found
+            bad = max(bad, 2 if name.lower() in found or len(found) == len(words) else 1)
+        elif any(w in _GOOD_WORD for w in words):
+            good = True
+    return bad, good, against
+
+
+def _sizes(root: Node) -> dict[Node, tuple[int, bool, int]]:
+    """Of each element: its text without parts that are dropped by their tag, whether it holds a main element, and the text of its largest article."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.children if isinstance(c, Node) and c.tag not in _DROPPED]
+    out = {}
+    for x in reversed(order):
+        size, has_main, article = 0, x.tag == "main", 0
+        for c in x.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif c in out:
+                own = out[c]
+                size, has_main, article = size + own[0], has_main or own[1], max(article, own[2])
+        out[x] = size, has_main, size if x.tag == "article" else article
+    return out
 
 
-def _pruned(node: Node) -> None:
-    stack = [node]
+def _pruned(root: Node) -> None:
+    stack, sizes = [root], None
     while stack:
         x = stack.pop()
         kept = []
@@ -146,13 +182,27 @@ def _pruned(node: Node) -> None:
                     kept.append(c)
                     stack.append(c)
                 continue
-            if c.tag not in _CONTENT and _named(c)[0]:
+            bad, good, against = (0, False, set()) if c.tag in _CONTENT else _named(c)
+            if bad == 3:
                 continue
+            if bad and not (c.tag in _TEXT and against <= _REGION and _within(c)) and not (bad == 1 and good):
+                sizes = sizes or _sizes(root)
+                total, (size, has_main, article) = sizes[root][0], sizes.get(c, (0, False, 0))
+                if not has_main and (not size or 4 * size < 3 * total) and (bad == 2 or not size or 2 * size < total and (not article or 4 * article < total)):
+                    continue
             kept.append(c)
             stack.append(c)
         x.children = kept
 
 
+def _within(node: Node) -> bool:
+    """Whether the element is in an article or main element, or one named so."""
+    x = node.parent
+    while x is not None and x.tag not in ("article", "main") and not (x.tag in ("div", "section") and _named(x)[1]):
+        x = x.parent
+    return x is not None
+
+
 def _holder(node: Node) -> str:
     x = node.parent
     while x is not None and x.tag not in ("article", "main", "section", "html"):
