@@ -9,7 +9,8 @@ a third of that to the others, and a container's points shrink by its share of l
 parts of the article are kept. White space inside a block becomes one space, and blocks join by one space in page order.
 
 Defined cases: a null or empty page, and one without text, give an empty text. Pages that are cut short, or hold one tag in another's place, are read as far
-as they go. If no container scores, the whole body counts. Very long pages are read whole; depth is not limited. Rows that repeat an id are read each.
+as they go. If no container scores, the whole body counts. Very long pages are read whole, at any depth; points
+are passed to the nearest 64 ancestors only. Rows that repeat an id are read each.
 """
 
 from __future__ import annotations
