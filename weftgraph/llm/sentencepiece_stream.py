@@ -8,10 +8,11 @@ The public models at hand are of the BPE kind, whose merges no sum of piece scor
 those merges keep: the encoding of a prefix ends in the one piece that forms a stable pair with the piece before it, that is,
 encoding the two together gives the two again. This gives the library's ids exactly (the README has more on it). A run
 of spaces and the word after it never share a piece with the text before them, so every path meets there: texts are cut
-at such places, and ids of short words are kept in a bounded memo.
+at such places and each word runs through stream(), whatever its length; ids of words are kept in a bounded memo.
 
 Defined cases: null and empty texts have no ids. Characters out of the vocabulary become byte pieces. Decoding gives the text
-again, but that U+2581 comes back as a space, as in the library. Rows that repeat an id are encoded each.
+again, but that U+2581 comes back as a space, as in the library. Rows that repeat an id are encoded each. Models that aren't of the BPE kind, or
+that normalise texts or have no byte pieces, raise ValueError: their ids would be other ones.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 import itertools
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,34 +33,91 @@ from pyspark.sql import functions as F
 from ._spark import arrow_batches, lean
 
 SPACE = "▁"
-#: Entries of each memo; a full one is emptied.
+#: Entries of the memo of words and of that of pairs; a full one is emptied.
 MEMO = 600_000
-#: Characters of the longest word in the memo.
+#: Characters of the longest word in the memo, and of the chunks that longer ones are read in.
 SHORT = 64
+#: The piece before the first one.
+START = -1
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
+def _checked(path: str, model: sentencepiece.SentencePieceProcessor) -> None:
+    """Raises ValueError if the pass wouldn't give the model's ids."""
+    kind, rules, nested = 1, b"", {}
+    with open(path, "rb") as f:
+        top = _fields(f.read())
+    for n, value in top:
+        if n in (2, 3) and isinstance(value, bytes):
+            nested[n] = dict(_fields(value))
+    kind = nested.get(2, {}).get(3, 1)
+    rules = nested.get(3, {}).get(2, b"")
+    collapses = nested.get(3, {}).get(4, 1)
+    if kind != 2:
+        raise ValueError(f"{path}: only models of the BPE kind are supported")
+    if rules or collapses or not nested.get(3, {}).get(3, 1):
+        raise ValueError(f"{path}: models that normalise texts, or that put no space before them, aren't supported")
+    if not model.is_byte(model.piece_to_id("<0x00>")):
+        raise ValueError(f"{path}: models without byte pieces aren't supported")
+
+
+def _fields(data: bytes) -> list[tuple[int, int | bytes]]:
+    """Number and value of the fields of a protocol buffer message."""
+    out, i = [], 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            b = data[i]
+            i += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while i < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            out.append((tag >> 3, varint()))
+        elif tag & 7 == 2:
+            n = varint()
+            out.append((tag >> 3, data[i : i + n]))
+            i += n
+        else:
+            n = 8 if tag & 7 == 1 else 4
+            out.append((tag >> 3, data[i : i + n]))
+            i += n
+    return out
+
+
 class StreamingEncoder:
     """path: a SentencePiece model of the BPE kind, with identity normalisation and byte fallback."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _checked(path, model)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        #: Each piece itself, so that memos hold one string of it.
-        self.same = {p: p for p in self.ids}
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that hold a space after other characters aren't supported")
+        #: The pieces as a trie: a node has its children by character, and its piece's id under "".
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
-        self.stable: dict[tuple[str, str], bool] = {}
-        self.tails: dict[str, str] = {}
+        #: By the id of the left piece, whether each right one forms a stable pair with it; and how many are known.
+        self.stable: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         self.halves: dict[str, tuple[str, str] | None] = {}
         #: Little-endian ids of short words, without the space that begins each.
         self.memo: dict[str, bytes] = {}
@@ -106,87 +164,95 @@ class StreamingEncoder:
             else:
                 bound, ties, right = score[right], True, self._halves(right)[0]
 
-    def _fits(self, last: str, piece: str) -> bool:
-        known = self.stable.get((last, piece))
-        if known is None:
-            if len(self.stable) > 2 * MEMO:
-                self.stable.clear()
-            known = self.stable[last, piece] = self._pair_is_stable(last, piece) if last else len(piece) == 1 or self._halves(piece) is not None
-        return known
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether a piece (id, or -2 - code point out of the vocabulary) may follow another."""
+        if right < START or left < START:
+            return left != START or right < START or self._halves(self.pieces[right]) is not None  # no piece reaches across
+        piece = self.pieces[right]
+        if left == START:
+            found = len(piece) == 1 or self._halves(piece) is not None
+        else:
+            found = self._pair_is_stable(self.pieces[left], piece)
+        if self.known_pairs > 2 * MEMO:
+            self.stable.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        self.stable.setdefault(left, {})[right] = found
+        return found
 
-    def stream(self, characters: Iterator[str]) -> Iterator[str]:
-        """Pieces of a stream of characters, each given as soon as it is final. Holds the window and the undecided path before it."""
-        ids, heads, longest, fits = self.ids, self.heads, self.longest, self._fits
-        window, base = "", 0  # characters from boundary base on
-        last: dict[int, str] = {0: ""}  # the piece that ends at each boundary
-        done, n, ended = 0, 0, False
-        while not ended or n < base + len(window):
-            chunk = "".join(itertools.islice(characters, 2 * longest)) if not ended else ""
-            ended = ended or not chunk
+    def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a word that comes in chunks, given as soon as they are final. Holds the window, one backpointer (the piece) for each boundary in it, and the
+        undecided path before it."""
+        trie, longest, stable, pieces = self.trie, self.longest, self.stable, self.pieces
+        window, last, n = "", [START], 0  # last: the piece that ends at each boundary; n: the first boundary that isn't left yet
+        chunks = iter(chunks)
+        chunk = next(chunks, None)
+        while chunk is not None:
+            following = next(chunks, None)
             window += chunk
-            stop = base + len(window) - (0 if ended else longest)
+            size = len(window)
+            last += [None] * (size + 1 - len(last))
+            stop = size if following is None else size - longest + 1
             while n < stop:
                 own = last[n]
-                for k in range(1, longest + 1):
-                    piece = window[n - base : n - base + k]
-                    if len(piece) < k or (k > 1 and piece not in heads):
-                        break
-                    if n + k not in last and (k == 1 or piece in ids) and fits(own, piece):
-                        last[n + k] = piece
+                known = stable.get(own) or stable.setdefault(own, {})
+                node = trie.get(window[n])
                 n += 1
-            heads_of = {i for i in last if i >= n}
-            while len(heads_of) > 1:  # the open paths, back to where they meet
-                i = max(heads_of)
-                heads_of.remove(i)
-                heads_of.add(i - len(last[i]))
-            (meet,) = heads_of
-            out = []
-            i = meet
-            while i > done:
-                out.append(last[i])
-                i -= len(last[i])
-            yield from reversed(out)
-            if meet > done:
-                done = meet
-                for i in [i for i in last if i < done]:
-                    del last[i]
-                window, base = window[done - base :], done
-
-    def _ids_of(self, piece: str) -> list[int]:
-        known = self.ids.get(piece)
-        return [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
+                if node is None or "" not in node:
+                    if last[n] is None:
+                        last[n] = -2 - ord(window[n - 1])
+                    if node is None:
+                        continue
+                k = n
+                while True:
+                    i = node.get("")
+                    if i is not None and last[k] is None:
+                        fits = known.get(i)
+                        if fits is None:
+                            fits = self._fits(own, i)
+                        if fits:
+                            last[k] = i
+                    if k == size:
+                        break
+                    node = node.get(window[k])
+                    if node is None:
+                        break
+                    k += 1
+            if following is None:
+                meet = size
+            else:
+                heads = {i for i in range(n, size + 1) if last[i] is not None}
+                while len(heads) > 1:  # the open paths, back to where they meet
+                    i = max(heads)
+                    heads.remove(i)
+                    heads.add(i - (len(pieces[last[i]]) if last[i] >= 0 else 1))
+                (meet,) = heads
+            if meet:
+                out, i = [], meet
+                while i:
+                    piece = last[i]
+                    if piece >= 0:
+                        out.append(piece)
+                        i -= len(pieces[piece])
+                    else:
+                        out += [self.byte_ids[b] for b in reversed(chr(-2 - piece).encode())]
+                        i -= 1
+                out.reverse()
+                yield out
+                window, last, n = window[meet:], last[meet:], n - meet
+            chunk = following
 
     def _word(self, bare: str) -> bytes:
-        word = SPACE + bare
-        if len(word) > SHORT:
-            return np.fromiter(itertools.chain.from_iterable(map(self._ids_of, self.stream(iter(word)))), "<i4").tobytes()
+        if len(bare) >= SHORT:
+            word = SPACE + bare
+            chunks = (word[i : i + SHORT] for i in range(0, len(word), SHORT))
+            return b"".join(np.array(ids, "<i4").tobytes() for ids in self.stream(chunks))
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        if 2 * len(self.tails) >= 3 * MEMO:
-            self.tails.clear()
-        out, rest, tails, ids = [], word, self.tails, self.ids
-        while rest:
-            piece = tails.get(rest) or self._tail(rest)
-            if piece in ids:
-                out.append(ids[piece])
-            else:
-                out += self._ids_of(piece)[::-1]
-            rest = rest[: -len(piece)]
-        found = self.memo[bare] = struct.pack(f"<{len(out)}i", *out[::-1])
+        (out,) = self.stream((SPACE + bare,))
+        found = self.memo[bare] = struct.pack(f"<{len(out)}i", *out)
         return found
 
-    def _tail(self, prefix: str) -> str:
-        """The last piece of a prefix of a short word: the same survivor as in stream(), found from the end and kept for other words."""
-        known = self.tails.get(prefix)
-        if known is None:
-            same, n = self.same, len(prefix)
-            for i in range(max(0, n - self.longest), n):
-                known = same.get(prefix[i:]) or (prefix[i:] if i == n - 1 else None)
-                if known is not None and self._fits(self._tail(prefix[:i]) if i else "", known):
-                    break
-            self.tails[prefix] = known
-        return known
-
     def packed(self, text: str) -> bytes:
         """The library's ids of the text, as little-endian 32-bit integers."""
         if not text:
@@ -197,7 +263,7 @@ class StreamingEncoder:
             words = text.split(" ")
         known = list(map(self.memo.get, words))
         if None in known:
-            known = [self._word(w) if k is None else k for w, k in zip(words, known, strict=True)]
+            known = [(self.memo.get(w) or self._word(w)) if k is None else k for w, k in zip(words, known, strict=True)]
         return b"".join(known)
 
     def encode(self, text: str) -> list[int]:
