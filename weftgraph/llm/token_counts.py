@@ -3,18 +3,18 @@
 A text splits into pretokens, and the count of a prefix is the count of the pretoken boundary before it plus that of
 the part of the pretoken inside it: count[i] = count[i - size of the last token] + 1. Within one pretoken the last token
 of each prefix follows from those before it: of the vocabulary's tokens that end there, exactly one forms a stable pair with
-the last token of the shorter prefix (encoding the two together gives the two again). So one pass answers
-how many tokens any prefix has, and how much of the text fits a budget, without encoding again. Counts of pretokens
-are kept in a bounded memo.
+the last token of the shorter prefix (encoding the two together gives the two again). So one pass stores the count of
+every prefix by code points, table(), and all answers are read from it: the tokens of the text or of a part from its beginning, and how much of it fits a
+budget. Where a prefix splits into other pretokens than the text does (runs of white space, contractions cut short, special strings cut short) the
+table holds the prefix's own count. The counts inside pretokens that came before are kept in a bounded memo.
 
 Defined cases: null and empty texts have no tokens. Rows that repeat an id are counted each. White space, control characters and
 very long words are counted as the library counts them. Strings of special tokens inside a text are one token, as is
-the library's default.
+the library's default. Tokenizers that aren't byte-level BPE with the split below raise ValueError: their counts would be other ones.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,15 +22,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from ._spark import arrow_batches, lean, with_own_names
 
 #: The split into pretokens of the byte-level family, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of the memo of pretokens; a full memo is emptied.
+#: Entries of the memo of pretokens and of that of pairs; a full memo is emptied.
 MEMO = 400_000
+#: Code points of the longest unit in the memo.
+SHORT = 100
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -39,32 +40,67 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _checked(path: str, spec: dict) -> None:
+    """Raises ValueError if the pass wouldn't give the tokenizer's counts."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    levels = [x for x in steps if x.get("type") == "ByteLevel"]
+    plain = len(steps) == 1 and len(levels) == 1 and levels[0].get("use_regex", True) and not levels[0].get("add_prefix_space", True)
+    if model.get("type") != "BPE" or not plain or spec.get("normalizer") is not None:
+        raise ValueError(f"{path}: only tokenizers of the byte-level BPE kind, without normalising, an own split or a space put before texts, are supported")
+    if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        raise ValueError(f"{path}: dropout, affixes of subwords and whole words before merges aren't supported")
+    if any(x.get(k) for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: special tokens that take white space or whole words aren't supported")
+
+
 class PrefixCounter:
     """Exact token counts of texts and of their prefixes. path: a tokenizer.json of the byte-level BPE kind."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _checked(path, spec)
         symbols = _byte_symbols()
         as_bytes = lambda s: bytes(symbols[c] for c in s)
         special = {x["content"] for x in spec["added_tokens"]}
-        vocab = spec["model"]["vocab"]
-        self.vocab = {as_bytes(k) for k in vocab if k not in special}
+        self.tokens = [as_bytes(k) for k in spec["model"]["vocab"] if k not in special]
+        self.number = {t: i for i, t in enumerate(self.tokens)}
+        self.heads = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
+        self.longest = max(map(len, self.tokens))
         merges = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
         #: The rank of each token: single bytes first, then in the order of the merges; and the two parts of each.
         self.rank = {bytes([b]): -1 for b in range(256)} | {a + b: i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.joins = {m: i for i, m in reversed(list(enumerate(merges)))}
         self.halves = {a + b: (a, b) for a, b in reversed(merges)}
-        self.heads = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split = regex.compile(PATTERN)
-        #: Merges whole pretokens by rank; the ranks of single bytes come first.
-        order = [bytes([b]) for b in range(256)] + [t for t, i in sorted(self.rank.items(), key=lambda x: x[1]) if i >= 0]
-        self.whole = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})._core_bpe.encode_single_piece
         #: Where a space cannot be told to begin a pretoken.
         self.odd = regex.compile(r"\p{White_Space} (\p{White_Space}|$)|^ \p{White_Space}")
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
-        self.memo: dict[str, int] = {}
+        #: Where one does in any text.
+        self.cut = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")
+        #: What may make the prefixes of a unit split in another way.
+        self.uneven = regex.compile(r"'(re|ve|ll)|\p{White_Space}\p{White_Space}")
+        #: States of the search for tokens that end at a byte, by the longest head of a token that does: the moves by byte, and size and number of the tokens, the longest first.
+        self.states: dict[bytes, tuple[dict, list[tuple[int, int]]]] = {}
+        self.start = self._state(b"")
+        #: By the number of the left token (-1: the pretoken's beginning), whether each right one forms a stable pair with it; and how many are known.
+        self.stable: dict[int, dict[int, bool]] = {-1: {}}
+        self.known_pairs = 0
+        #: Counts after each code point of short units, and of short pretokens, as little-endian 32-bit integers.
+        self.memo: dict[str, bytes] = {}
+        self.inside: dict[str, list[int]] = {}
+
+    def _state(self, head: bytes) -> tuple[dict, list[tuple[int, int]]]:
+        if head not in self.states:
+            self.states[head] = {}, [(len(head) - k, self.number[head[k:]]) for k in range(len(head)) if head[k:] in self.number]
+        return self.states[head]
+
+    def _move(self, state: tuple, byte: int, data: bytes) -> tuple:
+        """The state after a byte; data ends with it."""
+        k = next(k for k in range(max(0, len(data) - self.longest), len(data) + 1) if data[k:] in self.heads)
+        state[0][byte] = found = self._state(data[k:])
+        return found
 
     def _pair_is_stable(self, left: bytes, right: bytes) -> bool:
         """Whether the merge rules keep the boundary between two tokens: undo the later merge at the boundary, again and again, and see
@@ -82,109 +118,129 @@ class PrefixCounter:
             else:
                 bound, right = b + 1, self.halves[right][0]
 
-    def _fits(self, last: bytes, token: bytes) -> bool:
-        if not last:
-            return True
-        known = self.stable.get((last, token))
-        if known is None:
-            if len(self.stable) > 2 * MEMO:
-                self.stable.clear()
-            known = self.stable[last, token] = self._pair_is_stable(last, token)
-        return known
-
-    def prefix_counts(self, pretoken: str) -> np.ndarray:
+    def _fits(self, last: int, token: int) -> bool:
+        """Whether a token may follow another (-1: the pretoken's beginning)."""
+        if self.known_pairs > 2 * MEMO:
+            for known in self.stable.values():
+                known.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        found = self.stable[last][token] = last < 0 or self._pair_is_stable(self.tokens[last], self.tokens[token])
+        return found
+
+    def prefix_counts(self, pretoken: str) -> list[int]:
         """Tokens of every prefix, by bytes, of one pretoken; entry 0 is 0."""
         data = pretoken.encode()
-        n, vocab, heads = len(data), self.vocab, self.heads
-        last: list[bytes | None] = [b"", *[None] * n]
-        count = np.zeros(n + 1, np.int64)
-        for i in range(n):
-            own = last[i]
-            for j in range(i + 1, n + 1):
-                token = data[i:j]
-                if token not in heads:
+        stable, state = self.stable, self.start
+        last, rows, count = [-1], [stable[-1]], [0]
+        for n, byte in enumerate(data, 1):
+            to = state[0].get(byte)
+            state = self._move(state, byte, data[:n]) if to is None else to
+            for size, token in state[1]:
+                fits = rows[n - size].get(token)
+                if fits is None:
+                    fits = self._fits(last[n - size], token)
+                if fits:
+                    last.append(token)
+                    count.append(count[n - size] + 1)
+                    row = stable.get(token)
+                    rows.append(stable.setdefault(token, {}) if row is None else row)
                     break
-                if last[j] is None and token in vocab and self._fits(own, token):
-                    last[j], count[j] = token, count[i] + 1
-            last[i] = None
         return count
 
-    def of_unit(self, unit: str) -> int:
-        """Tokens of a text that begins and ends with pretokens' boundaries."""
-        known = self.memo.get(unit)
-        if known is None:
-            known = sum(len(self.whole(p.encode())) for p in self.split.findall(unit))
-            if len(unit) < 100:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[unit] = known
-        return known
+    def _after_each(self, pretoken: str) -> list[int]:
+        """Tokens of the pretoken's prefixes by code points, the empty one left out."""
+        found = self.inside.get(pretoken)
+        if found is None:
+            counts = self.prefix_counts(pretoken)
+            if len(counts) == len(pretoken) + 1:
+                found = counts[1:]
+            else:
+                found, at = [], 0
+                for c in pretoken:
+                    at += 1 if c < "\x80" else len(c.encode())
+                    found.append(counts[at])
+            if len(pretoken) < SHORT:
+                if len(self.inside) >= MEMO:
+                    self.inside.clear()
+                self.inside[pretoken] = found
+        return found
+
+    def _unit(self, unit: str) -> bytes:
+        """Counts after each code point of a text that begins and ends at pretokens' boundaries, as little-endian 32-bit integers."""
+        pretokens = self.split.findall(unit)
+        total, out = 0, []
+        for p in pretokens:
+            own = self._after_each(p)
+            out += [total + c for c in own] if total else own
+            total += own[-1]
+        if self.uneven.search(unit):
+            self._evened(pretokens, out)
+        found = np.array(out, "<u4").tobytes()
+        if len(unit) < SHORT:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[unit] = found
+        return found
+
+    def _evened(self, pretokens: list[str], out: list[int]) -> None:
+        """Puts right the counts of prefixes that split in another way than the text does: "'r" of "'re" is two pretokens, and a run of white space that
+        is followed by nothing is one."""
+        at = 0
+        for p, following in zip(pretokens, [*pretokens[1:], ""], strict=True):
+            before = out[at - 1] if at else 0
+            if p in ("'re", "'ve", "'ll"):
+                out[at + 1] = before + 2
+            elif p.isspace() and following[:1].isspace():
+                out[at + len(p)] = before + self._after_each(p + following[0])[-1]
+            at += len(p)
 
     def units(self, text: str) -> list[str]:
         """Pieces of the text, each of whole pretokens. A single space between others begins one."""
         if not text:
             return []
         if self.odd.search(text):
-            return self.split.findall(text)
+            return self.cut.split(text)
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
-    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        for i, part in enumerate(self.special.split(text) if self.special else [text]):
-            if part:
-                yield part, i % 2 == 1
+    def _plain(self, text: str) -> np.ndarray:
+        """Counts after each code point of a text without special strings."""
+        units = self.units(text)
+        known = list(map(self.memo.get, units))
+        if None in known:
+            known = [(self.memo.get(u) or self._unit(u)) if k is None else k for u, k in zip(units, known, strict=True)]
+        out = np.frombuffer(b"".join(known), "<u4").astype(np.int64)
+        if len(units) > 1:
+            sizes = np.fromiter(map(len, units), np.int64, len(units))
+            ends = np.cumsum(sizes)
+            totals = out[ends - 1]
+            out += np.repeat(np.cumsum(totals) - totals, sizes)
+        return out
+
+    def table(self, text: str) -> np.ndarray:
+        """The tokens of text[:i] at every i from 0 to the text's length."""
+        parts = self.special.split(text) if self.special else [text]
+        if len(parts) == 1:
+            return np.concatenate([np.zeros(1, np.int64), self._plain(text)])
+        out, total = [np.zeros(1, np.int64)], 0
+        for plain, special in zip(parts[::2], [*parts[1::2], ""], strict=True):
+            own = self._plain(plain + special[:-1])  # a special string cut short is plain text
+            if special:
+                last = own[len(plain) - 1] if plain else 0
+                own = np.append(own, last + 1)
+            out.append(total + own)
+            total += int(own[-1]) if len(own) else 0
+        return np.concatenate(out)
 
     def count(self, text: str) -> int:
         """Tokens of the text."""
-        total = 0
-        for part, special in self._parts(text):
-            if special:
-                total += 1
-                continue
-            units = self.units(part)
-            known = list(map(self.memo.get, units))
-            if None in known:
-                known = [self.of_unit(u) if k is None else k for u, k in zip(units, known, strict=True)]
-            total += sum(known)
-        return total
-
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Code points and tokens before each unit, and of the whole text: the counts that all others follow from."""
-        sizes, tokens = [0], [0]
-        for part, special in self._parts(text):
-            if special:
-                sizes.append(len(part))
-                tokens.append(1)
-            else:
-                units = self.units(part)
-                sizes += map(len, units)
-                known = list(map(self.memo.get, units))
-                tokens += [self.of_unit(u) if k is None else k for u, k in zip(units, known, strict=True)] if None in known else known
-        return np.cumsum(sizes), np.cumsum(tokens)
-
-    def count_at(self, text: str, i: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Tokens of text[:i]. Only the last pretokens before i can differ from those of the whole text."""
-        at, tokens = table or self.table(text)
-        k = max(0, int(np.searchsorted(at, i, "right")) - 3)
-        return int(tokens[k]) + self.count(text[at[k] : i])
-
-    def longest_prefix(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+        return int(self.table(text)[-1])
+
+    def longest_prefix(self, text: str, budget: int, table: np.ndarray | None = None) -> int:
         """Code points of the longest prefix that has at most budget tokens."""
-        at, tokens = table = table or self.table(text)
-        if tokens[-1] <= budget:
-            return len(text)
-        over = int(np.searchsorted(tokens, budget, "right"))
-        begin, end = int(at[over - 1]), int(at[min(over + 1, len(at) - 1)])
-        first, inside = int(tokens[over - 1]), self.split.findall(text[begin:end])
-        for pretoken in inside:
-            n = len(self.whole(pretoken.encode()))
-            if first + n > budget:
-                break
-            first, begin = first + n, begin + len(pretoken)
-        if pretoken[0] == "'" or pretoken[-1].isspace() or self.special and self.special.search(text[max(0, begin - 20) : end + 20]):
-            return next(i for i in range(end, begin - 1, -1) if i == begin or self.count_at(text, i, table) <= budget)
-        sizes = np.cumsum([0, *(len(c.encode()) for c in pretoken)])
-        return begin + int(np.flatnonzero(first + self.prefix_counts(pretoken)[sizes] <= budget)[-1])
+        table = self.table(text) if table is None else table
+        return int(np.flatnonzero(table <= budget)[-1])
 
 
 @lru_cache(maxsize=2)
@@ -205,10 +261,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             for text in batch.column(1):
                 text = text.as_py() or ""
                 table = counter.table(text)
-                n = int(table[1][-1])
                 size.append(len(text.encode()))
-                tokens.append(n)
-                fits.append(len(text) if n <= limit else counter.longest_prefix(text, limit, table))
+                tokens.append(int(table[-1]))
+                fits.append(counter.longest_prefix(text, limit, table))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "fits_chars"],
