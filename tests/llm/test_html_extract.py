@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from weftgraph.llm import html_extract as H
 from weftgraph.llm.html_extract import extracted, main_text
 
 LONG = "This is a paragraph of the article, with commas, and with enough words to count as prose for anyone who reads it, now and later."
@@ -75,3 +78,49 @@ def test_headings_and_paragraphs_named_after_regions_stay(wrap):
 def test_named_elements_that_hold_the_main_element_stay():
     body = f"<div class='sidebar'><main><p>{LONG}</p></main></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>"
     assert main_text(page(body)) == LONG
+
+
+ARTICLE = "<h1>Title here</h1><p>First, long paragraph of the article, with commas, and text enough to count.</p><p>Second one, also long enough to count as a paragraph.</p>"
+WANTED = "Title here First, long paragraph of the article, with commas, and text enough to count. Second one, also long enough to count as a paragraph."
+
+
+def test_scores_decide_where_no_tag_says_article():
+    links = "".join(f"<li><a href='/{i}'>Link number {i}, with words, and commas, in it</a></li>" for i in range(30))
+    page = f"<body><div><ul>{links}</ul></div><div><div>{ARTICLE}</div><div><ul>{links}</ul></div></div></body>"
+    assert H.main_text(page) == WANTED
+    several = f"<body><article>Short teaser of another, longer text.</article><div>{ARTICLE}</div></body>"
+    assert WANTED in H.main_text(several)
+
+
+def test_layout_names_and_forms_around_the_article():
+    for name in ("content with-sidebar", "no-sidebar", "main-content has-header", "article-form", "post hidden-xs", "story social"):
+        assert H.main_text(f'<body><nav>Menu</nav><div class="{name}"><article>{ARTICLE}</article></div><footer>foot</footer></body>') == WANTED, name
+    assert H.main_text(f"<body><form><nav>Menu</nav><div><article>{ARTICLE}</article></div><label>Name</label></form></body>") == WANTED
+    assert H.main_text(f"<body><article>{ARTICLE}<form><p>Your comment, please</p><label>Name</label></form></article></body>") == WANTED
+    deep = ARTICLE.replace("<h1>Title here</h1>", "<header><div><h1>Title here</h1><p>By someone</p></div></header>")
+    assert H.main_text(f"<body><article>{deep}</article></body>") == WANTED
+
+
+def test_points_reach_every_ancestor():
+    root = H.parse("<div>" * 200 + "<p>A paragraph with words, commas, and length enough.</p>" + "</div>" * 200)
+    order = H._scored(root)
+    divs = [x for x in order if x.tag == "div"]
+    points = next(x.points for x in order if x.tag == "p")
+    assert divs[-1].near == points and divs[-2].far == points / 2
+    assert all(abs(a.far - b.far / 3) < 1e-12 for a, b in zip(divs[:-3], divs[1:-2], strict=True)) and divs[0].far > 0
+
+
+def test_time_grows_with_the_length():
+    started = time.process_time()
+    H.main_text("<article>" + "<blockquote>" * 8000 + "text, enough of it to be counted" + "</p></div>" * 8000)
+    H.main_text("<b>" * 8000 + "<p>text, enough of it to be counted" * 8000 + "</i></u>" * 8000)
+    assert time.process_time() - started < 5
+
+
+def test_ties_go_to_the_first():
+    half = "<p>Words of a paragraph, and a comma, and enough of them.</p>"
+    root = H.parse(f"<body><div><section><div>{half}</div></section></div><div><section><div>{half}</div></section></div></body>")
+    order = H._scored(root)
+    best = max(order, key=lambda x: x.score)
+    again = [x for x in order if x.score == best.score]
+    assert len(again) > 1 and best is again[0]

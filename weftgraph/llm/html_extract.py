@@ -4,19 +4,21 @@ A page becomes a tree (tags may be left open, as browsers allow). Elements that
 navigation, page headers and footers, asides, and those whose class, id or role says advert, menu, sidebar, notice, comments and
 the like. Of a name such as no-sidebar or has-comments the last word doesn't count. Elements whose class or id is such a word as a whole stay only if they
 hold the main element or three quarters of the page's text; those where it is one part of a name (site-header) stay also if another class or the id says content, or
-if they hold half of the text, or an article with a quarter of it. Headings and paragraphs of an article stay if they are named after a region of a page (header, feedback). Each paragraph then passes points for its length and commas to its ancestors: all to its parent, half to the parent above,
-a third of that to the others, and a container's points shrink by its share of linked text. The best container and those siblings that look like
-parts of the article are kept. White space inside a block becomes one space, and blocks join by one space in page order.
+if they hold half of the text, or an article with a quarter of it. Headings and paragraphs of an article stay if they are named after a region of a page (header, feedback). A form stays if it holds the main element, an article or
+three quarters of the text, as some pages are one form. Each paragraph then passes points for its length and commas to its ancestors: all to its parent, half to
+the parent above, and to each one above a third of what the one below it got; a container's points shrink by its share of linked text. The best container and
+those siblings that look like parts of the article are kept. White space inside a block becomes one space, and blocks join by one space in page order.
 
 Defined cases: a null or empty page, and one without text, give an empty text. Pages that are cut short, or hold one tag in another's place, are read as far
-as they go. If no container scores, the whole body counts. Very long pages are read whole, at any depth; points
-are passed to the nearest 64 ancestors only. Rows that repeat an id are read each.
+as they go. Of containers with equal points the first in page order is the best. If no container scores, the whole body counts. Very long pages are read whole, at
+any depth, in time that grows with their length. Rows that repeat an id are read each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,19 +57,24 @@ _PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 
 
 class Node:
-    __slots__ = ("attrs", "children", "links", "own", "parent", "score", "size", "tag")
+    __slots__ = ("attrs", "children", "commas", "far", "links", "near", "own", "parent", "points", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
-        self.score, self.size, self.links, self.own = 0.0, 0, 0, 0
+        self.score, self.size, self.links, self.own, self.commas = 0.0, 0, 0, 0, 0
+        #: The element's own points, those of its paragraphs, and what comes up from below those.
+        self.points = self.near = self.far = 0.0
 
 
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = node = Node("html", None)
     at = 0
+    open_: Counter[str] = Counter()
 
     def opened(tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> Node | None:
+        if not any(open_[t] for t in tags):
+            return None
         x = node
         while x is not root and x.tag not in within:
             if x.tag in tags:
@@ -75,6 +82,15 @@ def parse(page: str) -> Node:
             x = x.parent
         return None
 
+    def left(x: Node) -> Node:
+        """Ends the element x and those in it; the element around it."""
+        nonlocal node
+        while node is not x:
+            open_[node.tag] -= 1
+            node = node.parent
+        open_[x.tag] -= 1
+        return x.parent
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             node.children.append(html.unescape(page[at : m.start()]))
@@ -90,16 +106,16 @@ def parse(page: str) -> Node:
             if tag == "br":
                 node.children.append("\n")
                 continue
-            x = node
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                node = x.parent
+            if open_[tag]:
+                x = node
+                while x.tag != tag:
+                    x = x.parent
+                node = left(x)
             continue
         if tag in ("html", "body", "head"):
             if tag == "body":
                 while node is not root:
-                    node = node.parent
+                    node = left(node)
             if tag != "head":
                 continue
         elif tag == "br":
@@ -107,17 +123,16 @@ def parse(page: str) -> Node:
             continue
         if tag in _CLOSES_P:
             x = opened({"p"}, _BLOCK - {"p"})
-            node = x.parent if x is not None else node
+            node = left(x) if x is not None else node
         if tag in _SELF_CLOSING:
             own = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}
             x = opened(own, _SELF_CLOSING[tag])
-            node = x.parent if x is not None else node
+            node = left(x) if x is not None else node
         new = Node(tag, node, m["attrs"])
         node.children.append(new)
-        if tag not in _VOID and not m["attrs"].endswith("/"):
-            node = new
-        elif tag not in _VOID and tag in _BLOCK:
+        if tag not in _VOID and (tag in _BLOCK or not m["attrs"].endswith("/")):
             node = new
+            open_[tag] += 1
     if at < len(page):
         node.children.append(html.unescape(page[at:]))
     return root
@@ -148,12 +163,12 @@ def _named(node: Node) -> tuple[int, bool, set[str]]:
 
 
 def _sizes(root: Node) -> dict[Node, tuple[int, bool, int]]:
-    """Of each element: its text without parts that are dropped by their tag, whether it holds a main element, and the text of its largest article."""
+    """Of each element: its text without parts that are dropped by their tag (but for forms), whether it holds a main element, and the text of its largest article."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        stack += [c for c in x.children if isinstance(c, Node) and c.tag not in _DROPPED]
+        stack += [c for c in x.children if isinstance(c, Node) and (c.tag not in _DROPPED or c.tag == "form")]
     out = {}
     for x in reversed(order):
         size, has_main, article = 0, x.tag == "main", 0
@@ -176,9 +191,14 @@ def _pruned(root: Node) -> None:
             if isinstance(c, str):
                 kept.append(c)
                 continue
+            if c.tag == "form":
+                sizes = sizes or _sizes(root)
+                total, (size, has_main, article) = sizes[root][0], sizes.get(c, (0, False, 0))
+                if has_main or article or size and 4 * size >= 3 * total:
+                    c.tag = "div"
             if c.tag in _DROPPED:
                 if c.tag == "header" and _holder(c) in ("article", "main"):
-                    c.children = [h for h in c.children if isinstance(h, Node) and h.tag in ("h1", "h2", "hgroup")]
+                    c.children = _headings(c)
                     c.tag = "div"
                     kept.append(c)
                     stack.append(c)
@@ -196,6 +216,20 @@ def _pruned(root: Node) -> None:
         x.children = kept
 
 
+def _headings(node: Node) -> list[Node]:
+    """The headings of a page or article in an element, at any depth."""
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            if x.tag in ("h1", "h2", "hgroup"):
+                out.append(x)
+                x.parent = node
+            elif x.tag not in _DROPPED and not _named(x)[0]:
+                stack += reversed(x.children)
+    return out
+
+
 def _within(node: Node) -> bool:
     """Whether the element is in an article or main element, or one named so."""
     x = node.parent
@@ -218,27 +252,23 @@ def _scored(root: Node) -> list[Node]:
         x = stack.pop()
         order.append(x)
         stack += [c for c in reversed(x.children) if isinstance(c, Node)]
-    for x in reversed(order):
+    for x in reversed(order):  # what is below comes first
         text = [c for c in x.children if isinstance(c, str)]
+        below = [c for c in x.children if isinstance(c, Node)]
         x.own = sum(len(c.strip()) for c in text)
-        x.size = x.own + sum(c.size for c in x.children if isinstance(c, Node))
-        x.links = x.size if x.tag == "a" else sum(c.links for c in x.children if isinstance(c, Node))
-    for x in order:
+        commas = sum(c.count(",") + c.count("،") + c.count("、") for c in text)
+        x.commas = commas + sum(c.commas for c in below)
+        x.size = x.own + sum(c.size for c in below)
+        x.links = x.size if x.tag == "a" else sum(c.links for c in below)
+        x.near = sum(c.points for c in below)
+        x.far = sum(c.near / 2 + c.far / 3 for c in below)
+        x.score = x.near + x.far
         loose = x.tag in ("div", "section", "article", "main", "html", "body") and x.own >= 25
-        if x.tag not in _PARAGRAPH and not loose or x.size < 25:
-            continue
-        size = x.own if loose else x.size
-        points = 1 + min(size / 100, 3) + _commas(x, loose)
-        points *= 1 - x.links / x.size
-        if loose:
-            x.score += points
-        up, part = x.parent, 1.0
-        for level in range(64):
-            if up is None:
-                break
-            up.score += points * part
-            part = 0.5 if level == 0 else 0.5 / (3 * level)
-            up = up.parent
+        if loose or x.tag in _PARAGRAPH and x.size >= 25:
+            size, commas = (x.own, commas) if loose else (x.size, x.commas)
+            x.points = (1 + min(size / 100, 3) + commas) * (1 - x.links / x.size)
+            if loose:
+                x.score += x.points
     for x in order:
         if x.score:
             x.score *= 1 - (x.links / x.size if x.size else 0)
@@ -249,19 +279,6 @@ def _scored(root: Node) -> list[Node]:
     return order
 
 
-def _commas(node: Node, loose: bool) -> int:
-    if loose:
-        return sum(c.count(",") for c in node.children if isinstance(c, str))
-    total, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                total += c.count(",") + c.count("،") + c.count("、")
-            else:
-                stack.append(c)
-    return total
-
-
 def _blocks(node: Node, out: list[str]) -> None:
     """Text with a line break at the edges of blocks."""
     stack: list[Node | str] = [node]
@@ -277,9 +294,6 @@ def _blocks(node: Node, out: list[str]) -> None:
 
 def _main(root: Node) -> list[Node]:
     order = _scored(root)
-    articles = [x for x in order if x.tag == "article" and x.size]
-    if len(articles) == 1 and 4 * articles[0].size >= root.size:
-        return articles
     best = max(order, key=lambda x: x.score)
     if not best.score:
         return [root]
