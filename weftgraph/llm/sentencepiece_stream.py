@@ -107,16 +107,13 @@ class StreamingEncoder:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that hold a space after other characters aren't supported")
-        #: The pieces as a trie: a node has its children by character, and its piece's id under "".
-        self.trie: dict = {}
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.heads = {p[:k] for p in self.ids for k in range(len(p) + 1)}
+        #: States of the search for pieces that end at a character, by the longest head of a piece that does: the moves by character, and size and id of the pieces, the longest first.
+        self.states: dict[str, tuple[dict, list[tuple[int, int]]]] = {}
+        self.start = self._state("")
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
         #: By the id of the left piece, whether each right one forms a stable pair with it; and how many are known.
-        self.stable: dict[int, dict[int, bool]] = {}
+        self.stable: dict[int, dict[int, bool]] = {START: {}}
         self.known_pairs = 0
         self.halves: dict[str, tuple[str, str] | None] = {}
         #: Little-endian ids of short words, without the space that begins each.
@@ -164,64 +161,64 @@ class StreamingEncoder:
             else:
                 bound, ties, right = score[right], True, self._halves(right)[0]
 
+    def _state(self, head: str) -> tuple[dict, list[tuple[int, int]]]:
+        if head not in self.states:
+            self.states[head] = {}, [(len(head) - k, self.ids[head[k:]]) for k in range(len(head)) if head[k:] in self.ids]
+        return self.states[head]
+
+    def _move(self, state: tuple, window: str) -> tuple:
+        """The state after the last character of the window."""
+        k = next(k for k in range(max(0, len(window) - self.longest), len(window) + 1) if window[k:] in self.heads)
+        found = self._state(window[k:])
+        if found[1]:  # characters out of the vocabulary are too many to be kept
+            state[0][window[-1]] = found
+        return found
+
     def _fits(self, left: int, right: int) -> bool:
-        """Whether a piece (id, or -2 - code point out of the vocabulary) may follow another."""
-        if right < START or left < START:
-            return left != START or right < START or self._halves(self.pieces[right]) is not None  # no piece reaches across
+        """Whether a piece may follow another (START: none; below that: a character out of the vocabulary, over which no piece reaches)."""
         piece = self.pieces[right]
-        if left == START:
+        if left <= START:
             found = len(piece) == 1 or self._halves(piece) is not None
         else:
             found = self._pair_is_stable(self.pieces[left], piece)
         if self.known_pairs > 2 * MEMO:
-            self.stable.clear()
+            for known in self.stable.values():
+                known.clear()
             self.known_pairs = 0
         self.known_pairs += 1
-        self.stable.setdefault(left, {})[right] = found
+        self.stable.setdefault(max(left, START), {})[right] = found
         return found
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of a word that comes in chunks, given as soon as they are final. Holds the window, one backpointer (the piece) for each boundary in it, and the
-        undecided path before it."""
-        trie, longest, stable, pieces = self.trie, self.longest, self.stable, self.pieces
-        window, last, n = "", [START], 0  # last: the piece that ends at each boundary; n: the first boundary that isn't left yet
+        """Ids of a word that comes in chunks, given as soon as they are final. Holds one backpointer (the piece) for each boundary since the ids given, of which
+        only those of the longest piece's width are open; the state holds as many characters."""
+        stable, pieces, longest, state = self.stable, self.pieces, self.longest, self.start
+        tail, last, rows = "", [START], [stable[START]]  # last: the piece that ends at each boundary; rows: what may follow it
         chunks = iter(chunks)
         chunk = next(chunks, None)
         while chunk is not None:
             following = next(chunks, None)
-            window += chunk
-            size = len(window)
-            last += [None] * (size + 1 - len(last))
-            stop = size if following is None else size - longest + 1
-            while n < stop:
-                own = last[n]
-                known = stable.get(own) or stable.setdefault(own, {})
-                node = trie.get(window[n])
-                n += 1
-                if node is None or "" not in node:
-                    if last[n] is None:
-                        last[n] = -2 - ord(window[n - 1])
-                    if node is None:
-                        continue
-                k = n
-                while True:
-                    i = node.get("")
-                    if i is not None and last[k] is None:
-                        fits = known.get(i)
-                        if fits is None:
-                            fits = self._fits(own, i)
-                        if fits:
-                            last[k] = i
-                    if k == size:
+            n = len(last)
+            for at, c in enumerate(chunk, 1):
+                to = state[0].get(c)
+                state = self._move(state, (tail + chunk[:at])[-longest:]) if to is None else to
+                for size, piece in state[1]:
+                    fits = rows[n - size].get(piece)
+                    if fits is None:
+                        fits = self._fits(last[n - size], piece)
+                    if fits:
+                        last.append(piece)
+                        row = stable.get(piece)
+                        rows.append(stable.setdefault(piece, {}) if row is None else row)
                         break
-                    node = node.get(window[k])
-                    if node is None:
-                        break
-                    k += 1
-            if following is None:
-                meet = size
-            else:
-                heads = {i for i in range(n, size + 1) if last[i] is not None}
+                else:
+                    last.append(-2 - ord(c))
+                    rows.append(stable[START])
+                n += 1
+            meet = n - 1
+            if following is not None:
+                tail = (tail + chunk)[-longest:]
+                heads = set(range(max(0, n - longest), n))
                 while len(heads) > 1:  # the open paths, back to where they meet
                     i = max(heads)
                     heads.remove(i)
@@ -239,7 +236,7 @@ class StreamingEncoder:
                         i -= 1
                 out.reverse()
                 yield out
-                window, last, n = window[meet:], last[meet:], n - meet
+                del last[:meet], rows[:meet]
             chunk = following
 
     def _word(self, bare: str) -> bytes:
