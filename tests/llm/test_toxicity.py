@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from weftgraph.llm import toxicity as T
@@ -37,10 +38,64 @@ def test_matches_equal_brute_force():
 
 def test_quotations_count_apart():
     lexicon = T.Lexicon(["idiot" + T.END])
-    assert lexicon.counts("you are an idiot.")[:4] == (1, 0, 0, 0)
-    assert lexicon.counts("you are an idoit or idjot")[:4] == (0, 1, 0, 0)
-    assert lexicon.counts('he said "idiot" to them')[:4] == (0, 0, 0, 1)
-    assert lexicon.counts("they used the word idiot in court")[:4] == (0, 0, 0, 1)
+    assert lexicon.counts("you are an idiot.")[:5] == (1, 0, 0, 0, 0)
+    assert lexicon.counts("you are an idoit or idjot")[:5] == (0, 1, 0, 0, 0)
+    for text in ('he said "idiot" to them', "they used the word idiot in court", "er nannte ihn „ein großer idiot“, oder", "«quel idiot !» dit-elle", '"you are an idiot," he said', "( “idiot” )", 'so " idiot " it is'):
+        assert lexicon.counts(text)[:5] == (0, 0, 0, 1, 0), text
+    for text in ('"hello" you idiot "bye"', 'you idiot "bye" then', '"hello" you idiot', "in other words you are an idiot", 'you idiot" it', "don’t you idiot don’t"):
+        assert lexicon.counts(text)[:5] == (1, 0, 0, 0, 0), text
+    assert lexicon.counts("he said you are an idiot")[:5] == (1, 0, 0, 0, 1)
+    rows = T.features(np.array([[0, 0, 0, 5, 0, 10], [0, 0, 0, 0, 0, 10], [1, 0, 0, 0, 1, 10], [1, 0, 0, 0, 0, 10]], float))
+    assert rows.shape[1] == T.FEATURES and (rows[0] != rows[1]).any() and (rows[2] != rows[3]).any()
+
+
+def test_labels_say_what_quotations_are_worth(spark):
+    words = "ba do ki lu me na so ti".split()
+    for worth in (0, 1):
+        rows = []
+        for i in range(600):
+            rnd = random.Random(i)
+            some = [rnd.choice(words) + rnd.choice(words) for _ in range(30)]
+            kind = i % 3
+            some[9:9] = [["zorgle"], ['"zorgle"'], []][kind]
+            rows.append((i, " ".join(some), [1, worth, 0][kind]))
+        docs = spark.createDataFrame([r[:2] for r in rows] + [(900, 'ki ba "zorgle" do'), (901, "ki ba zorgle do")], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+        found = {r.doc_id: r.predicted for r in T.toxicity(docs, labels).collect()}
+        assert (found[900], found[901]) == (worth, 1)
+
+
+def test_counts_equal_brute_force():
+    rnd = random.Random(6)
+    terms = ["idiot", "scum"]
+    lexicon = T.Lexicon([t + T.END for t in terms])
+    parts = ["idiot", "scum", "idiott", '"', "ba", "do,", "word", "said", '"ba', 'do"', '"ki"', "scum.", '"scum"', '"idiot', 'idiot"']
+    for _ in range(3000):
+        tokens = [rnd.choice(parts) for _ in range(rnd.randint(0, 12))]
+        expected = [0, 0, 0, 0, 0, len(tokens)]
+        for i, t in enumerate(tokens):
+            bare = t.strip('"., ')
+            kind = 0 if bare in terms else 1 if any(distance(bare, x) <= T.edits_for(x) for x in terms) else None
+            if kind is None:
+                continue
+            before, after = tokens[max(0, i - T.CONTEXT) : i], tokens[i + 1 : i + 1 + T.CONTEXT]
+            # the nearest mark on either side, as a mark at the beginning or at the end of its word
+            near = ["("] if t[0] == '"' else [x for b in reversed(before) for x in ((")" if b[-1:] == '"' and len(b) > 1 else "") or ("(" if b[0] == '"' else ""),) if x]
+            far = [")"] if t.rstrip(".,")[-1] == '"' else [x for a in after for x in (("(" if a[0] == '"' and len(a) > 1 else "") or (")" if a.rstrip(".,")[-1:] == '"' else ""),) if x]
+            quoted = near[:1] == ["("] and far[:1] == [")"] or before[-1:] == ["word"]
+            expected[3 if quoted else kind] += 1
+            expected[4] += not quoted and "said" in before
+        assert lexicon.counts(" ".join(tokens)) == tuple(expected), tokens
+
+
+def test_long_words_and_equal_runs(spark, tables):
+    docs, labels = tables
+    long = "z" * 60
+    more = spark.createDataFrame([(5000 + i, f"ba do {long} ki {i}", "en", "s") for i in range(40)], docs.schema)
+    told = spark.createDataFrame([(5000 + i, 1) for i in range(40)], labels.schema)
+    both = [T.fitted(docs.unionAll(more).repartition(n), labels.unionAll(told)) for n in (3, 7)]
+    assert both[0].weights == both[1].weights and both[0].made_of == both[1].made_of
+    assert both[0].scores([f"me {long} na"])[0] >= 0.5 > both[0].scores(["me na"])[0]
 
 
 @pytest.fixture(scope="module")

@@ -1,19 +1,20 @@
 """Toxicity by a learned lexicon, matched with misspellings, and by the context of each match.
 
-Terms are learned from labelled documents: nodes of the trie of their words that come up in toxic documents alone, far more often than
+Terms are learned from labelled documents: nodes of the trie of their words that come up in toxic documents alone (in clean ones only in quotations), far more often than
 chance allows. Where one word carries a node's evidence the term is that word, else it is a stem, which any ending may follow. Nodes that come
 up in clean documents too, but in toxic ones several times as often, are weak terms, which count apart.
 At scoring time words run through the product of the lexicon's trie and Levenshtein automata (one edit for words of five letters,
 two from nine; stems and weak terms alike, and what follows a stem is free if the stem's last letter is in place), built state by state as words need it, so
 most words are rejected after two or three letters. Misspellings that clean labelled documents hold don't count. Every match is then
-looked at with the six words on either side: quotation marks around it or words of reporting make it a quotation, which counts apart. A
-logistic model over the document's matches, exact, misspelt and quoted, gives the score.
+looked at with the six words on either side. A pair of quotation marks that opens before and closes after it, or a word such as "term" right before it, makes it a
+quotation, which counts apart; verbs of saying before it are counted besides. A logistic model over the document's matches, exact, misspelt, weak, quoted and reported,
+gives the score, so the labels say what quotations and reports are worth.
 
 Labels are learned from at most TRAIN_ROWS labelled documents (picked by a hash of the id), of rows that aren't held out. Neither id, language nor source is an
 input. Counts of words are taken on the executors; the driver gets the lexicon's candidates and five numbers for each labelled document.
 
 Defined cases: null and empty texts score as documents without a match. Rows that repeat an id are scored each; if labels repeat an id, toxic wins. With no
-label at all nothing is toxic. Null labels are ignored. Very long texts are scored whole. Extra columns are ignored, or kept by filtered().
+label at all nothing is toxic. Of copies in the labelled documents the least id counts. Words of any length are terms; stems have up to STEM letters. Null labels are ignored. Very long texts are scored whole. Extra columns are ignored, or kept by filtered().
 """
 
 from __future__ import annotations
@@ -35,14 +36,18 @@ TRAIN_ROWS = 20_000
 LEAST_DOCS, LEAST_PURITY, WEAK_PURITY, LEAST_STEM, CONTEXT = 4, 0.95, 0.4, 4, 6
 #: A misspelt match's part of an exact one; a term of which more of the clean documents seem to hold misspellings is matched as it is.
 MISSPELT, MISSPELT_CLEAN = 0.7, 0.002
-FEATURES = 6
+FEATURES = 9
 MEMO = 100_000
+#: Letters of the longest stem.
+STEM = 40
 END = "\0"
 _EDGE = " \t\n\r.,;:!?¡¿()[]{}<>|*#$%&@~^_=+/\\`´\"'“”„‟«»‹›‘’‚…·•-–—0123456789"
-_QUOTES = frozenset("\"“”„‟«»‹›‘’‚`´")
-_REPORTING = frozenset(
-    "said says say called calls wrote writes quote quoted quotes quoting word words term terms phrase alleged allegedly insult insulted insults slur reported reports accused dit écrit traité mot terme sagte schrieb nannte wort begriff dijo llamó escribió palabra término".split()
-)
+#: What closes each quotation mark.
+_CLOSES = {'"': '"', "“": "”\"", "„": "“”\"", "‟": "”\"", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "‚": "‘’", "`": "`´'"}
+_CLOSING = frozenset("".join(_CLOSES.values())) - {"'"}
+_STOPS = ".,;:!?…)]}"
+_MENTION = frozenset("word words term terms phrase phrases insult insults slur slurs epithet mot mots terme termes insulte wort worte begriff schimpfwort palabra palabras término insulto".split())
+_SAYING = frozenset("said says say saying wrote writes called calls shouted quoted quotes reported reports alleged allegedly accused insulted dit écrit traité appelé sagte schrieb nannte dijo llamó escribió".split())
 
 
 def edits_for(term: str) -> int:
@@ -155,52 +160,78 @@ class Lexicon:
         self.memo[token] = known
         return known
 
-    def counts(self, text: str) -> tuple[int, int, int, int, int]:
-        """Exact, misspelt, weak and quoted matches, and words."""
+    def counts(self, text: str) -> tuple[int, int, int, int, int, int]:
+        """Exact, misspelt and weak matches; those in quotations, which aren't among them; those after a verb of saying, which are; and words."""
         tokens = text.lower().split()
         found = list(map(self.memo.get, tokens))
         if None in found:
             found = [self.of_token(t) if k is None else k for t, k in zip(tokens, found, strict=True)]
-        counts = [0, 0, 0, 0]
+        counts = [0, 0, 0, 0, 0]
         if any(found):
             for i, k in enumerate(found):
                 if k:
-                    counts[3 if _is_quoted(tokens, i) else min(k, 3) - 1] += 1
+                    quoted = _is_quoted(tokens, i)
+                    counts[3 if quoted else min(k, 3) - 1] += 1
+                    counts[4] += not quoted and any(t.strip(_EDGE) in _SAYING for t in tokens[max(0, i - CONTEXT) : i])
         return (*counts, len(tokens))
 
 
 def features(counts: np.ndarray) -> np.ndarray:
     """The model's inputs from rows of counts()."""
     exact = counts[:, 0] + MISSPELT * counts[:, 1]
-    weak, words = counts[:, 2], np.maximum(1, counts[:, 4])
-    return np.column_stack([np.log1p(exact), np.minimum(1, 10 * exact / words), exact >= 0.5, np.log1p(weak), weak >= 2, np.minimum(1, 10 * weak / words)]).astype(float)
+    weak, quoted, reported, words = counts[:, 2], counts[:, 3], counts[:, 4], np.maximum(1, counts[:, 5])
+    matches = np.maximum(1, counts[:, :4].sum(axis=1))
+    columns = [np.log1p(exact), np.minimum(1, 10 * exact / words), exact >= 0.5, np.log1p(weak), weak >= 2, np.minimum(1, 10 * weak / words)]
+    return np.column_stack([*columns, np.log1p(quoted), quoted / matches, reported / matches]).astype(float)
 
 
 def _is_quoted(tokens: list[str], i: int) -> bool:
-    before, after = tokens[max(0, i - CONTEXT) : i], tokens[i + 1 : i + 1 + CONTEXT]
-    opened = any(c in _QUOTES for t in (*before, tokens[i][:1]) for c in (t[:1], *t[-1:])) or tokens[i][:1] in _QUOTES
-    closed = any(t and (t[-1] in _QUOTES or t.rstrip(".,;:!?")[-1:] in _QUOTES) for t in (tokens[i], *after))
-    return opened and closed or any(t.strip(_EDGE) in _REPORTING for t in before)
-
-
-def _nodes(text: str) -> set[str]:
-    words = {t.strip(_EDGE) for t in text.lower().split()}
+    """Whether a pair of quotation marks encloses the token within the window, or the word before mentions it as a word."""
+    if i and tokens[i - 1].strip(_EDGE) in _MENTION:
+        return True
+    mark = None
+    for k in range(i, max(-1, i - CONTEXT - 1), -1):
+        t = tokens[k]
+        if k < i and t.rstrip(_STOPS)[-1:] in _CLOSING and (len(t.rstrip(_STOPS)) > 1 or t not in _CLOSES):
+            return False  # a quotation ends before
+        if t.lstrip("([{")[:1] in _CLOSES:
+            mark = t.lstrip("([{")[0]
+            break
+    if mark is None:
+        return False
+    for k in range(i, min(len(tokens), i + CONTEXT + 1)):
+        t = tokens[k].rstrip(_STOPS)
+        if k > i and t[:1] in _CLOSES and t[0] not in _CLOSES[mark]:
+            return False  # another begins
+        if k > i and len(t) > 1 and t[0] == mark and t[:1] in _CLOSES:
+            return False
+        if t[-1:] and t[-1] in _CLOSES[mark] and (k > i or len(t) > 1):
+            return True
+    return False
+
+
+def _nodes(text: str, quoted: bool = True) -> set[str]:
+    """Nodes of a text's words. quoted: whether those in quotations are among them."""
+    tokens = text.lower().split()
+    if not quoted and (not _CLOSES.keys().isdisjoint(text) or not _MENTION.isdisjoint(tokens)):
+        tokens = [t for i, t in enumerate(tokens) if not _is_quoted(tokens, i)]
+    words = {t.strip(_EDGE) for t in tokens}
     out = set()
     for w in words:
-        if w and len(w) < 40:
+        if w:
             out.add(w + END)
-            out.update(w[:k] for k in range(LEAST_STEM, len(w) + 1))
+            out.update(w[:k] for k in range(LEAST_STEM, min(len(w), STEM) + 1))
     return out
 
 
 def _counted(docs: DataFrame, only: set[str] | None) -> DataFrame:
-    """Documents of each trie node; docs: id, text."""
+    """Documents of each trie node, or of each of some, which quoted words don't count for; docs: id, text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                found = _nodes(text or "")
+                found = _nodes(text or "", only is None)
                 counts.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["node", "n"])
 
@@ -229,7 +260,7 @@ def chosen_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         terms: list[str] = []
         covered, above = set(but), set()  # terms so far, and all nodes on the way to them
         for n in sorted(found):
-            if n in above or any(n[:k] in covered for k in range(1, len(n) + 1)):
+            if n in above or n in covered or any(n[:k] in covered for k in range(1, min(len(n), STEM) + 1)):
                 continue
             top = n
             while True:  # down to where the evidence parts
@@ -274,7 +305,7 @@ class ToxicityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         self.lexicon = self.lexicon or Lexicon(*self.made_of)
-        counts = np.array([self.lexicon.counts(t or "") for t in texts], float).reshape(-1, 5)
+        counts = np.array([self.lexicon.counts(t or "") for t in texts], float).reshape(-1, 6)
         w = np.array(self.weights)
         return 1 / (1 + np.exp(-np.clip(features(counts) @ w[:-1] + w[-1], -30, 30)))
 
@@ -291,7 +322,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     if n > train_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
-    some = own.where("id is not null").join(F.broadcast(known), "id").select("id", "text", "y").dropDuplicates(["text", "y"])
+    some = own.where("id is not null").join(F.broadcast(known), "id").groupBy("text", "y").agg(F.min("id").alias("id")).select("id", "text", "y")
 
     def each_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,10 +361,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*made_of)
         for batch in batches:
-            rows = np.array([lexicon.counts(t or "") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, np.ascontiguousarray(rows.T))], names=["y", "c0", "c1", "c2", "c3", "c4"])
+            rows = np.array([lexicon.counts(t or "") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(2), *map(pa.array, np.ascontiguousarray(rows.T))], names=["y", *(f"c{i}" for i in range(6))])
 
-    rows = np.array(train.mapInArrow(lean(each), "y int, c0 long, c1 long, c2 long, c3 long, c4 long").collect(), dtype=float)
+    rows = np.array(train.mapInArrow(lean(each), ", ".join(["y int", *(f"c{i} long" for i in range(6))])).collect(), dtype=float)
+    rows = rows[np.lexsort(rows.T)]  # sums in the same order in every run
     return ToxicityModel(made_of, _logistic(features(rows[:, 1:]), rows[:, 0]).tolist())
 
 
