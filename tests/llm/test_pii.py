@@ -36,7 +36,7 @@ def check(spark, rows):
         assert r.base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest(), text
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in expected) for k in P.KINDS]
         spans = r.spans.split(",") if r.spans else []
-        assert set(expected) <= set(spans)
+        assert set(expected) <= set(spans) and r.n_spans == len(spans)
         key = lambda x: (int(x.split(":")[1]), P.KINDS.index(x.split(":")[0]))
         assert spans == sorted(spans, key=key)
     return found
@@ -72,15 +72,51 @@ def test_further_spans_follow_the_confirmed_ones(spark):
     assert found[100].n_card == 0 and found[100].spans == "card:12:28" and found[101].spans == ""
 
 
-def test_trees_learn_and_limits_are_precise():
-    cells = np.array([[2, 16, 0, 4, 1, 1, h, 4] for h in (0, 1)])
+def test_trees_learn_and_limits_are_calibrated():
+    cells = np.array([[2, 16, 0, 4, 0, 1, 1, h, 4] for h in (0, 1)])
     n, y = np.array([100.0, 100.0]), np.array([10.0, 99.0])
     trees = P.Trees(cells, n, y)
-    assert trees.score[1] > 2 > 0 > trees.score[0]
+    assert trees.score[1] > 2 > 0 > trees.score[0] and np.allclose(trees.scores(cells), trees.score)
     limits = P.thresholds(cells, n, y, trees.score)
     assert trees.score[0] < limits[2] <= trees.score[1] and limits[0] == float("inf")
 
 
+def test_calibration_equals_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        score, n = rnd.integers(0, 8, 12).astype(float), rnd.integers(1, 9, 12).astype(float)
+        y = np.floor(n * rnd.random(12))
+        low, high, p = P.calibrated(score, n, y)
+        assert (np.diff(p) > 0).all() and (high[:-1] < low[1:]).all()
+        for s in np.unique(score):  # the min-max formula of isotonic regression
+            share = lambda a, b: y[(score >= a) & (score <= b)].sum() / n[(score >= a) & (score <= b)].sum()
+            values = np.unique(score)
+            best = max(min(share(a, b) for b in values if b >= s) for a in values if a <= s)
+            assert abs(p[(low <= s) & (s <= high)][0] - best) < 1e-9
+
+
+def common_rows(n=300):
+    phones = [f"+1 ({200 + i}) 555-{1000 + 7 * i}" for i in range(n)]
+    return [(i, f"one of them {p} or so, from {i % 250}.{i % 99}.7.{i % 200} or me.{i}@host{i}.example.com, paid {2000 + i % 20}-0{1 + i % 9}-11 there, user@host{i} too") for i, p in enumerate(phones)]
+
+
+def test_wide_spans_are_caught_alike_in_any_number(spark):
+    planted = "write john.doe (at) example (dot) com or call (555) 123-4567 for it"
+    for n in (1, 20, 100):
+        found = check(spark, common_rows() + [(1000 + i, planted) for i in range(n)])
+        for i in range(n):
+            s, e = planted.index("john"), planted.index(" or call")
+            p = planted.index("(555)")
+            assert found[1000 + i].spans == f"email:{s}:{e},phone:{p}:{p + 14}", n
+
+
+def test_no_kind_is_added_over_another_ones_span_or_a_date(spark):
+    found = check(spark, [*common_rows(), (1000, "at 55.148.143.52 since 2021-04-11 or 11.04.2021, user@hosts")])
+    assert found[1000].spans == "ip:3:16"
+    for i, text in common_rows():
+        assert found[i].spans.count(":") == 6, text
+
+
 def test_redaction_and_defined_cases(spark):
     rows = [(1, "mail é a@b.c now", 7), (2, None, 7), (3, "", 7), (4, "none", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, base int")
