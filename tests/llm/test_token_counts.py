@@ -70,7 +70,7 @@ def test_every_pretoken_is_counted_by_the_pass(both):
     counter.prefix_counts = counted
     text = "It's one thing, two things! " + "y" * 300 + " one thing,"
     assert counter.count(text) == count(text)
-    assert "".join(seen) == text.removesuffix(" one thing,")
+    assert sorted(seen) == sorted(set(counter.split.findall(text)))  # the memo serves a pretoken that came before, and nothing else does
 
 
 def test_other_tokenizers_are_refused():

@@ -16,8 +16,10 @@ the library's default. Tokenizers that aren't byte-level BPE with the split belo
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from ._spark import arrow_batches, lean, with_own_names
 
 #: The split into pretokens of the byte-level family, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of the memo of pretokens and of that of pairs; a full memo is emptied.
-MEMO = 400_000
+#: Entries of each memo; a full one is emptied.
+MEMO, HEADS = 600_000, 200_000
+#: Bytes of the beginnings that pretokens are resumed from.
+HEAD = 6
 #: Code points of the longest unit in the memo.
 SHORT = 100
 
@@ -69,27 +73,27 @@ class PrefixCounter:
         self.heads = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
         self.longest = max(map(len, self.tokens))
         merges = [tuple(map(as_bytes, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-        #: The rank of each token: single bytes first, then in the order of the merges; and the two parts of each.
-        self.rank = {bytes([b]): -1 for b in range(256)} | {a + b: i for i, (a, b) in reversed(list(enumerate(merges)))}
-        self.joins = {m: i for i, m in reversed(list(enumerate(merges)))}
-        self.halves = {a + b: (a, b) for a, b in reversed(merges)}
+        #: By number: the rank of each token (single bytes first, then in the order of the merges), and the two parts of each. By left << 32 | right: the rank of a merge.
+        parts = {a + b: (a, b) for a, b in reversed(merges)}
+        rank = {a + b: i for i, (a, b) in reversed(list(enumerate(merges)))}
+        self.rank = [rank.get(t, -1) for t in self.tokens]
+        self.halves = [tuple(self.number[x] for x in parts[t]) if t in parts else () for t in self.tokens]
+        self.joins = {self.number[a] << 32 | self.number[b]: i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split = regex.compile(PATTERN)
-        #: Where a space cannot be told to begin a pretoken.
-        self.odd = regex.compile(r"\p{White_Space} (\p{White_Space}|$)|^ \p{White_Space}")
-        #: Where one does in any text.
+        #: Where a space begins a pretoken in any text.
         self.cut = regex.compile(r"(?<=\P{White_Space})(?= \P{White_Space})")
-        #: What may make the prefixes of a unit split in another way.
-        self.uneven = regex.compile(r"'(re|ve|ll)|\p{White_Space}\p{White_Space}")
         #: States of the search for tokens that end at a byte, by the longest head of a token that does: the moves by byte, and size and number of the tokens, the longest first.
         self.states: dict[bytes, tuple[dict, list[tuple[int, int]]]] = {}
         self.start = self._state(b"")
         #: By the number of the left token (-1: the pretoken's beginning), whether each right one forms a stable pair with it; and how many are known.
         self.stable: dict[int, dict[int, bool]] = {-1: {}}
         self.known_pairs = 0
-        #: Counts after each code point of short units, and of short pretokens, as little-endian 32-bit integers.
+        #: Counts after each code point of short units that begin with a space, by the rest of the unit, as 32-bit integers; and of short pretokens.
         self.memo: dict[str, bytes] = {}
-        self.inside: dict[str, list[int]] = {}
+        self.inside: dict[str, array] = {}
+        #: What the pass holds after the beginnings of pretokens.
+        self.begun: dict[bytes, tuple] = {}
 
     def _state(self, head: bytes) -> tuple[dict, list[tuple[int, int]]]:
         if head not in self.states:
@@ -102,21 +106,23 @@ class PrefixCounter:
         state[0][byte] = found = self._state(data[k:])
         return found
 
-    def _pair_is_stable(self, left: bytes, right: bytes) -> bool:
+    def _pair_is_stable(self, left: int, right: int) -> bool:
         """Whether the merge rules keep the boundary between two tokens: undo the later merge at the boundary, again and again, and see
         whether a merge across it would have come first."""
-        bound = 1 << 60
+        rank, halves, joins = self.rank, self.halves, self.joins
+        bound, a, b = 1 << 60, rank[left], rank[right]
         while True:
-            across = self.joins.get((left, right))
+            across = joins.get(left << 32 | right)
             if across is not None and across < bound:
                 return False
-            a, b = self.rank[left], self.rank[right]
-            if a < 0 and b < 0:
-                return True
             if a > b:
-                bound, left = a, self.halves[left][1]
+                bound, left = a, halves[left][1]
+                a = rank[left]
+            elif b < 0:
+                return True
             else:
-                bound, right = b + 1, self.halves[right][0]
+                bound, right = b + 1, halves[right][0]
+                b = rank[right]
 
     def _fits(self, last: int, token: int) -> bool:
         """Whether a token may follow another (-1: the pretoken's beginning)."""
@@ -125,15 +131,30 @@ class PrefixCounter:
                 known.clear()
             self.known_pairs = 0
         self.known_pairs += 1
-        found = self.stable[last][token] = last < 0 or self._pair_is_stable(self.tokens[last], self.tokens[token])
+        found = self.stable[last][token] = last < 0 or self._pair_is_stable(last, token)
         return found
 
     def prefix_counts(self, pretoken: str) -> list[int]:
         """Tokens of every prefix, by bytes, of one pretoken; entry 0 is 0."""
         data = pretoken.encode()
-        stable, state = self.stable, self.start
-        last, rows, count = [-1], [stable[-1]], [0]
-        for n, byte in enumerate(data, 1):
+        if len(data) <= HEAD:
+            return self._run(data, 0, self.start, [-1], [self.stable[-1]], [0])[3]
+        head = data[:HEAD]
+        begun = self.begun.get(head)
+        if begun is None:
+            if len(self.begun) >= HEADS:
+                self.begun.clear()
+            state, last, _, count = self._run(head, 0, self.start, [-1], [self.stable[-1]], [0])
+            begun = self.begun[head] = state, array("i", last), array("i", count)
+        state, last, count = begun
+        last = last.tolist()
+        return self._run(data, HEAD, state, last, list(map(self.stable.get, last)), count.tolist())[3]
+
+    def _run(self, data: bytes, at: int, state: tuple, last: list[int], rows: list[dict], count: list[int]) -> tuple:
+        """Goes on with the pass from a byte on. last: the last token of each prefix; rows: what may follow it; count: its tokens."""
+        stable = self.stable
+        for n in range(at + 1, len(data) + 1):
+            byte = data[n - 1]
             to = state[0].get(byte)
             state = self._move(state, byte, data[:n]) if to is None else to
             for size, token in state[1]:
@@ -146,20 +167,18 @@ class PrefixCounter:
                     row = stable.get(token)
                     rows.append(stable.setdefault(token, {}) if row is None else row)
                     break
-        return count
+        return state, last, rows, count
 
-    def _after_each(self, pretoken: str) -> list[int]:
+    def _after_each(self, pretoken: str) -> array:
         """Tokens of the pretoken's prefixes by code points, the empty one left out."""
         found = self.inside.get(pretoken)
         if found is None:
             counts = self.prefix_counts(pretoken)
             if len(counts) == len(pretoken) + 1:
-                found = counts[1:]
+                found = array("I", counts[1:])
             else:
-                found, at = [], 0
-                for c in pretoken:
-                    at += 1 if c < "\x80" else len(c.encode())
-                    found.append(counts[at])
+                ends = accumulate(1 if c < "\x80" else len(c.encode()) for c in pretoken)
+                found = array("I", [counts[i] for i in ends])
             if len(pretoken) < SHORT:
                 if len(self.inside) >= MEMO:
                     self.inside.clear()
@@ -167,23 +186,30 @@ class PrefixCounter:
         return found
 
     def _unit(self, unit: str) -> bytes:
-        """Counts after each code point of a text that begins and ends at pretokens' boundaries, as little-endian 32-bit integers."""
+        """Counts after each code point of a text that begins and ends at pretokens' boundaries, as 32-bit integers."""
+        if unit[unit[0] == " " :].isalpha():
+            return self._after_each(unit).tobytes()
         pretokens = self.split.findall(unit)
-        total, out = 0, []
+        total, out = 0, array("I")
         for p in pretokens:
             own = self._after_each(p)
-            out += [total + c for c in own] if total else own
+            out.extend([total + c for c in own] if total else own)
             total += own[-1]
-        if self.uneven.search(unit):
-            self._evened(pretokens, out)
-        found = np.array(out, "<u4").tobytes()
-        if len(unit) < SHORT:
+        self._evened(pretokens, out)
+        return out.tobytes()
+
+    def _word(self, bare: str) -> bytes | None:
+        """_unit() of a space and a word; None if a space and this would not begin and end at pretokens' boundaries in any text."""
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            return None
+        found = self.memo.get(bare) or self._unit(" " + bare)
+        if len(bare) < SHORT:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[unit] = found
+            self.memo[bare] = found
         return found
 
-    def _evened(self, pretokens: list[str], out: list[int]) -> None:
+    def _evened(self, pretokens: list[str], out: array) -> None:
         """Puts right the counts of prefixes that split in another way than the text does: "'r" of "'re" is two pretokens, and a run of white space that
         is followed by nothing is one."""
         at = 0
@@ -195,41 +221,42 @@ class PrefixCounter:
                 out[at + len(p)] = before + self._after_each(p + following[0])[-1]
             at += len(p)
 
-    def units(self, text: str) -> list[str]:
-        """Pieces of the text, each of whole pretokens. A single space between others begins one."""
-        if not text:
-            return []
-        if self.odd.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-
     def _plain(self, text: str) -> np.ndarray:
         """Counts after each code point of a text without special strings."""
-        units = self.units(text)
-        known = list(map(self.memo.get, units))
+        if not text:
+            return np.zeros(0, np.uint32)
+        first, *bare = text.split(" ")
+        known = list(map(self.memo.get, bare))
+        last = len(bare) - 1
         if None in known:
-            known = [(self.memo.get(u) or self._unit(u)) if k is None else k for u, k in zip(units, known, strict=True)]
-        out = np.frombuffer(b"".join(known), "<u4").astype(np.int64)
-        if len(units) > 1:
+            known = [(self._unit(" " + w) if i == last and w and w[-1].isspace() and not w[0].isspace() else self._word(w)) if k is None else k for i, (w, k) in enumerate(zip(bare, known, strict=True))]
+        if first[-1:].isspace() or not first and bare and not bare[0] or None in known:  # spaces beside other white space
+            units = self.cut.split(text)
             sizes = np.fromiter(map(len, units), np.int64, len(units))
-            ends = np.cumsum(sizes)
-            totals = out[ends - 1]
-            out += np.repeat(np.cumsum(totals) - totals, sizes)
+            known = [(self._word(u[1:]) if u[0] == " " else None) or self._unit(u) for u in units]
+        else:
+            sizes = np.fromiter(map(len, bare), np.int64, len(bare)) + 1
+            if first:
+                sizes = np.concatenate([[len(first)], sizes])
+                known.insert(0, self._unit(first))
+        out = np.frombuffer(bytearray().join(known), np.uint32)
+        if len(sizes) > 1:
+            totals = out[np.cumsum(sizes) - 1]
+            out += np.repeat(np.cumsum(totals, dtype=np.uint32) - totals, sizes)
         return out
 
     def table(self, text: str) -> np.ndarray:
         """The tokens of text[:i] at every i from 0 to the text's length."""
         parts = self.special.split(text) if self.special else [text]
         if len(parts) == 1:
-            return np.concatenate([np.zeros(1, np.int64), self._plain(text)])
-        out, total = [np.zeros(1, np.int64)], 0
+            return np.concatenate([np.zeros(1, np.uint32), self._plain(text)])
+        out, total = [np.zeros(1, np.uint32)], 0
         for plain, special in zip(parts[::2], [*parts[1::2], ""], strict=True):
             own = self._plain(plain + special[:-1])  # a special string cut short is plain text
             if special:
-                last = own[len(plain) - 1] if plain else 0
-                own = np.append(own, last + 1)
-            out.append(total + own)
+                last = int(own[len(plain) - 1]) if plain else 0
+                own = np.append(own, np.uint32(last + 1))
+            out.append(own + np.uint32(total))
             total += int(own[-1]) if len(own) else 0
         return np.concatenate(out)
 
@@ -263,7 +290,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 table = counter.table(text)
                 size.append(len(text.encode()))
                 tokens.append(int(table[-1]))
-                fits.append(counter.longest_prefix(text, limit, table))
+                fits.append(len(text) if table[-1] <= limit else counter.longest_prefix(text, limit, table))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "fits_chars"],
