@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,55 @@ def test_accuracy_on_rows_without_labels(tables):
     assert kept.columns == docs.columns and kept.where("doc_id = 5002").count() == 2
 
 
-def test_rounds_add_sure_rows_for_the_other_view(tables):
-    docs, labels, truth = tables
+def trained(docs, labels, **more):
     rows = Q._features(docs.selectExpr("doc_id AS id", "text", "lang AS m0", "source AS m1", "n_chars AS m2"), ["m0", "m1", "m2"]).cache()
-    model = Q.fitted(rows, labels.selectExpr("doc_id AS id", "quality AS y"))
-    for view in (0, 1):
-        for good in (True, False):
-            x = Q._sure(rows, model.views, view, good)
-            assert 0 < len(x[0]) == len(x[1]) <= Q.ADDED
-            z = model.views[view].raw(x[view])
-            assert ((z > 0) == good).all()
+    return Q.fitted(rows, labels.selectExpr("doc_id AS id", "quality AS y"), **more)
+
+
+def test_rounds_pass_on_both_labels_of_unseen_documents(tables):
+    docs, labels, truth = tables
+    model = trained(docs, labels)
+    labelled = {r.doc_id for r in labels.collect()}
+    seen = set()
+    assert len(model.rounds) == Q.ROUNDS
+    for one in model.rounds:
+        ids = set()
+        for view in (0, 1):
+            for good in (1, -1):
+                n, some = one[view, good]
+                assert n == len(some) == len(set(some)) > 0
+                assert not any(i in labelled or zlib.crc32(str(i).encode()) % 5 == 0 for i in some)
+                assert sum(truth.get(i, 1) == (good > 0) for i in some) >= 0.9 * len(some)
+                ids |= set(some)
+        assert not ids & seen
+        seen |= ids
+
+
+def test_pseudo_labels_grow_with_the_pool_and_equal_documents_count_once(spark, tables):
+    docs, labels, _ = tables
+    total = lambda model: sum(n for one in model.rounds for n, _ in one.values())
+    some = total(trained(docs.where("doc_id < 800"), labels))
+    every = trained(docs, labels)
+    assert total(every) > 1.5 * some
+    copies = docs.where("doc_id = 900").crossJoin(spark.range(10_000, 12_000)).selectExpr("id AS doc_id", "text", "lang", "source", "n_chars")
+    again = trained(docs.unionAll(copies), labels)
+    assert abs(total(again) - total(every)) <= 3 and np.allclose(again.views[0].weights, every.views[0].weights, atol=0.5)
+    bounded = trained(docs, labels, added=10)
+    assert all(len(ids) <= 30 for one in bounded.rounds for _, ids in one.values())
+
+
+def test_equal_runs(tables):
+    docs, labels, _ = tables
+    a, b = (trained(docs.repartition(n), labels) for n in (2, 5))
+    assert (a.weights == b.weights).all() and all((x.weights == y.weights).all() for x, y in zip(a.views, b.views, strict=True))
+
+
+def test_held_out_labels_and_clashing_columns(tables):
+    docs, labels, _ = tables
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality", "'a' AS text", "1 AS id")
+    more = docs.selectExpr("*", "1 AS id", "2 AS x", "3 AS h", "4 AS m0", "5 AS score", "6 AS fold", "7 AS y")
+    one, two = ({r.doc_id: r.score for r in Q.quality(d, t).collect()} for d, t in ((docs, labels), (more, flipped)))
+    assert one == two
 
 
 def test_text_features_depend_on_one_row_alone():
