@@ -124,3 +124,16 @@ def test_components_are_exact(spark):
                 stack.append(x)
         assert found[start] == min(seen)
     assert set(found) == set(near)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_paths_take_few_rounds(spark, monkeypatch, shuffled):
+    ids = list(range(1001))
+    if shuffled:
+        random.Random(1).shuffle(ids)
+    tables, own = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: tables.append(name) or own(df, name))
+    edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long").coalesce(1)
+    found = N.components(edges, "path").collect()
+    assert len(found) == 1001 and all(r.component == 0 for r in found)
+    assert len(tables) <= (40 if shuffled else 14)

@@ -191,12 +191,18 @@ def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """edges: a, b. Returns id, component (the smallest id reachable) for every id that has an edge.
 
-    Each round gives every vertex its smallest neighbour's name and drops edges within one name, until none is left."""
+    Each round points every vertex to its smallest neighbour, follows the pointers to their ends, doubling the steps, and contracts the edges to these ends, until none is
+    left. So a path of n edges takes about log2(n) doublings, in one round if its ids ascend."""
     edges = stored(edges.where("a <> b").distinct(), f"{name}-edges")
     found = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), f"{name}-step")
+        while True:
+            up = step.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("next"))
+            if step.join(up, "component", "left_semi").isEmpty():
+                break
+            step = stored(step.join(up, "component", "left").select("id", F.coalesce("next", "component").alias("component")), f"{name}-step")
         if found is None:
             found = step
         else:
