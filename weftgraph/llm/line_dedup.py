@@ -76,8 +76,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _anchors(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word, number of words, and the bounds of their windows in the array of windows' hashes that comes last."""
+def _anchors(text: Words, with_windows: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word, number of words, and the bounds of their windows in the array of windows' hashes that comes last, which is empty if they aren't wanted."""
     prefix, first = text.hashes(), text.first
     n = len(text.start)
     count = np.diff(first)
@@ -91,7 +91,8 @@ def _anchors(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         bounds = np.append(begin, len(starts))
         fp, at, size = grams[anchor[begin]], starts[begin], np.diff(bounds) + (MIN_WORDS - 1)
-        windows = (_run_hash(prefix, starts, MIN_WORDS, 1) >> np.uint64(32)).astype(np.uint32)
+        if with_windows:
+            windows = (_run_hash(prefix, starts, MIN_WORDS, 1) >> np.uint64(32)).astype(np.uint32)
     # lines of text and groups of sentences that are shorter than a window
     line_end = np.flatnonzero(text.newline) + 1
     line_at = np.concatenate([[0], line_end[:-1]]) if len(line_end) else line_end
@@ -109,6 +110,17 @@ def _anchors(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return fp, np.concatenate([at, line_at, some_at]), np.concatenate([size, line_size, some_size]), bounds, windows
 
 
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    """docs: id, text. The fp of each row of _places(), alone."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_anchors(Words(data, offsets), False)[0].view(np.int64))], names=["fp"])
+
+    return docs.where("id is not null and text <> ''").select("text").mapInArrow(lean(each), "fp long")
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """docs: id, text. A row for each anchor, and each short line or group of sentences: fp, id, at and size (words), windows (hashes, four bytes each; empty for the short ones)."""
 
@@ -140,10 +152,9 @@ def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """docs: id, text. Returns id and spans, an array of numbers lo << 32 | hi of word numbers (hi exclusive) that equal words before them."""
-    places = _places(docs)
     # both sides of each join are plain shuffles, which adaptive execution can split where one fingerprint is very common
-    known = stored(places.groupBy("fp").agg(F.count("*").alias("total")).where("total > 1"), "known-lines")
-    several = stored(places.join(known, "fp"), "repeated-lines")
+    known = stored(_fingerprints(docs).groupBy("fp").agg(F.count("*").alias("total")).where("total > 1"), "known-lines")
+    several = stored(_places(docs).join(known, "fp"), "repeated-lines")
     blocks = stored(several.groupBy("fp", "windows", "total").agg(F.min(F.struct("id", "at")).alias("r"), F.count("*").alias("n")), "first-lines")
     later = "id <> r.id or at <> r.at"
     whole = several.join(blocks.where("n > 1").select("fp", "windows", "r"), ["fp", "windows"]).where(later).select("id", "at", (F.col("at") + F.col("size")).alias("hi"))
