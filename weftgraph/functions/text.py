@@ -9,19 +9,35 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 #: Kinds of entities and the patterns that find them.
 ENTITY_PATTERNS = {
     "EMAIL": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "PHONE": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
-    "URL": r"https?://[a-zA-Z0-9./?=_&%#-]+",
-    "DATE": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "TIME": r"[0-9]{1,2}:[0-9]{2}",
-    "MONEY": r"[$€£][0-9]+(?:[.][0-9]{2})?",
-    "PERSON": r"[A-Z][a-z]+ [A-Z][a-z]+",
+    "PHONE": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    "URL": r"https?://[^\s<>\"')]+",
+    "DATE": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2},? [0-9]{4}",
+    "TIME": r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?(?: ?[AaPp][Mm])?",
+    "MONEY": r"[$€£] ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{2})? (?:USD|EUR|GBP|dollars|euros|pounds)",
+    "PERSON": r"[A-Z][a-z]+(?: [A-Z]\.)?(?: [A-Z][a-z]+)+",
     "HASHTAG": r"#[a-zA-Z0-9_]+",
     "MENTION": r"@[a-zA-Z0-9_]+",
-    "IP_ADDRESS": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "IP_ADDRESS": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}",
 }
 RELATION_WORDS = ("is", "has", "was", "are", "works", "contains", "causes", "relates")
 
 
+def loaded_patterns(spec: list[dict]) -> dict[str, str]:
+    """Patterns from plain data (entity_name, regex), as read from JSON; an error if a field is missing or a pattern is none."""
+    import re
+
+    out = {}
+    for x in spec:
+        if not x.get("entity_name") or not x.get("regex"):
+            raise ValueError(f"entity_name and regex are needed: {x}")
+        try:
+            re.compile(x["regex"])
+        except re.error as e:
+            raise ValueError(f"{x['entity_name']}: {e}") from e
+        out[x["entity_name"]] = x["regex"]
+    return out
+
+
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words of letters, digits and underscores in any script, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))

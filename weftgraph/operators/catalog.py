@@ -71,3 +71,69 @@ def bootstrap(scores: DataFrame, metric: str, score: str, samples: int = 1000, c
     means = weighted.groupBy(metric, "sample").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     ends = means.groupBy(metric).agg(F.percentile("m", (1 - confidence) / 2).alias("low"), F.percentile("m", (1 + confidence) / 2).alias("high"))
     return scores.where(F.col(score).isNotNull()).groupBy(metric).agg(F.avg(score).alias("mean")).join(ends, metric)
+
+
+def token_total(data: DataFrame, tokens: str = "token_count") -> DataFrame:
+    """One row, tokens: the sum, 0 without data."""
+    return data.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+
+
+def run_metrics(runs: DataFrame, stored: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A row of metrics for each run: the stored one (run_id, ...) if there is one, else the given one row."""
+    missing = runs.select("run_id").distinct().join(stored, "run_id", "left_anti")
+    return stored.join(runs, "run_id", "left_semi").unionByName(missing.join(metrics, F.lit(True)).select(*stored.columns))
+
+
+def deletion_counts(datasets: DataFrame, data: DataFrame, dataset: str | None = None, owner=None) -> DataFrame:
+    """One row: how many datasets, data rows and owners a deletion would concern; of one dataset by name, of one owner, or of all. datasets: dataset_id, name, owner_id; data: data_id, dataset_id."""
+    if dataset is not None:
+        datasets = datasets.where(F.col("name") == dataset)
+    if owner is not None:
+        datasets = datasets.where(F.col("owner_id") == owner)
+    n = datasets.agg(F.count("*").alias("n_datasets"), F.countDistinct("owner_id").alias("n_owners"))
+    rows = data.join(datasets, "dataset_id", "left_semi").agg(F.countDistinct("data_id").alias("n_data"))
+    return n.join(rows, F.lit(True)).select("n_datasets", "n_data", "n_owners")
+
+
+def with_data(datasets: DataFrame, data: DataFrame) -> DataFrame:
+    """Datasets (dataset_id) with whether they have any data: has_data."""
+    some = data.select("dataset_id").distinct().withColumn("__some", F.lit(True))
+    return datasets.join(some, "dataset_id", "left").withColumn("has_data", F.coalesce("__some", F.lit(False))).drop("__some")
+
+
+def of_dataset(data: DataFrame, dataset, order: str = "created_at", tie: str = "data_id") -> DataFrame:
+    """A dataset's data, the latest first."""
+    return data.where(F.col("dataset_id") == dataset).orderBy(F.desc(order), tie)
+
+
+def loaded_or_created(wanted: DataFrame, existing: DataFrame, user: str, tenant: str | None = None) -> DataFrame:
+    """Datasets for names or ids (column name): those that exist by either, else new ones with the id that belongs to name and user: name, dataset_id, created."""
+    from ..functions.ids import dataset_id
+
+    by_name = existing.groupBy("name").agg(F.min("dataset_id").alias("by_name"))
+    by_id = existing.select(F.col("dataset_id").cast("string").alias("name"), F.col("dataset_id").alias("by_id"), F.col("name").alias("named")).dropDuplicates(["name"])
+    found = wanted.select("name").distinct().join(by_name, "name", "left").join(by_id, "name", "left")
+    known = F.coalesce("by_id", "by_name")
+    return found.select(F.coalesce("named", "name").alias("name"), F.coalesce(known, dataset_id(F.col("name"), F.lit(user), F.lit(tenant))).alias("dataset_id"), known.isNull().alias("created"))
+
+
+def logged(entries: DataFrame, kind: str) -> DataFrame:
+    """Rows of the search log from queries or results (id, text, user_id, created_at): the same with kind, each id once."""
+    return entries.select("id", "text", "user_id", "created_at", F.lit(kind).alias("kind")).dropDuplicates(["id"])
+
+
+def chosen_search(text, graph_words: tuple[str, ...] = ("related", "connected", "relation", "between", "why", "how"), summary_words: tuple[str, ...] = ("summary", "summarise", "summarize", "overview"), time_words: tuple[str, ...] = ("when", "before", "after", "since", "until")):
+    """A kind of search for a question, by its words; RAG_COMPLETION if none decides. A rule in the place of a model."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    has = lambda known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
+    return F.when(has(summary_words), "SUMMARIES").when(has(time_words), "TEMPORAL").when(has(graph_words), "GRAPH_COMPLETION").when(F.lower(text).rlike(r"\b(def|class|function|import)\b"), "CODE").otherwise("RAG_COMPLETION")
+
+
+def pruned(remote: DataFrame, local: DataFrame, key: str = "content_hash") -> DataFrame:
+    """What a remote dataset keeps: rows that the local one has too."""
+    return remote.join(local.select(key).distinct(), key, "left_semi")
+
+
+def run_summary(runs: DataFrame, status: str = "status") -> DataFrame:
+    """Counts of runs by status."""
+    return runs.groupBy(status).agg(F.count("*").alias("n"))

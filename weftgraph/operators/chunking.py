@@ -96,7 +96,79 @@ def overlapping_of(text: str, most: int, ratio: float) -> Iterator[tuple[int, st
         yield index, "".join(p for p, _ in held), sum(s for _, s in held), "end"
 
 
-_CHUNKERS = {"paragraph": paragraphs_of, "row": rows_of, "overlap": overlapping_of}
+SEPARATORS = ("\n\n", "\n", " ", "")
+#: Where code is cut first, by language.
+CODE = {
+    "python": ("\nclass ", "\ndef ", "\n\tdef ", "\n    def ", *SEPARATORS),
+    "js": ("\nfunction ", "\nclass ", "\nconst ", "\nlet ", "\nif ", "\nfor ", *SEPARATORS),
+    "markdown": ("\n# ", "\n## ", "\n### ", "\n\n", "\n", " ", ""),
+}
+
+
+def pieces_of(text: str, separator: str, keep: bool = True) -> list[str]:
+    """The text cut at a separator, which stays at the beginning of what follows it, or is dropped; empty pieces are left out."""
+    if not separator:
+        return list(text)
+    first, *rest = text.split(separator)
+    return [p for p in [first, *((separator + r) if keep else r for r in rest)] if p]
+
+
+def split_by_length(text: str, most: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
+    """Pieces of up to most characters that join to the text, cut at the first separator that makes them short enough, else at the next."""
+    if len(text) <= most:
+        if text:
+            yield text
+        return
+    separator = next((s for s in separators if s == "" or s in text[1:]), "")
+    held = ""
+    for p in pieces_of(text, separator):
+        if len(p) > most:
+            if held:
+                yield held
+            held = ""
+            rest = separators[separators.index(separator) + 1 :] if separator in separators else ()
+            yield from split_by_length(p, most, rest or ("",))
+        elif len(held) + len(p) > most:
+            yield held
+            held = p
+        else:
+            held += p
+    if held:
+        yield held
+
+
+def characters_of(text: str, most: int, overlap: int = 0, separators: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, str, int, str]]:
+    """(index, chunk, characters, kind): split_by_length(), each chunk preceded by the last overlap characters of the one before."""
+    last = ""
+    for index, piece in enumerate(split_by_length(text, max(1, most - overlap), separators)):
+        chunk = (last[-overlap:] if overlap and index else "") + piece
+        yield index, chunk, len(chunk), "character"
+        last = piece
+
+
+def code_of(text: str, most: int, overlap: int = 0, language: str = "python") -> Iterator[tuple[int, str, int, str]]:
+    """characters_of() with a language's separators."""
+    for index, chunk, size, _ in characters_of(text, most, overlap, CODE[language]):
+        yield index, chunk, size, "code"
+
+
+def word_size(word: Column) -> Column:
+    """What a word counts in chunk sizes: 1, 0 if it is empty. A tokenizer's count may take its place."""
+    return F.when(F.length(F.trim(word)) > 0, 1).otherwise(0)
+
+
+def count_tokens(text: Column) -> Column:
+    """Words and marks of punctuation, as an offline measure of tokens."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)))
+
+
+def trimmed(text: Column, most: int) -> Column:
+    """The longest beginning of a text that has up to most of count_tokens()."""
+    token = r"(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
+    return F.when(count_tokens(text) <= most, text).otherwise(F.regexp_extract(text, rf"^\s*+(?:{token}\s*+){{0,{max(0, most - 1)}}}{token if most > 0 else ''}", 0))
+
+
+_CHUNKERS = {"paragraph": paragraphs_of, "row": rows_of, "overlap": overlapping_of, "character": characters_of, "code": code_of}
 
 
 def use_chunker(name: str, chunker) -> None:

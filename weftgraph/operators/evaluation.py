@@ -40,3 +40,25 @@ def golden_context(items: DataFrame) -> DataFrame:
 def sampled(items: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """n items, the same ones for the same seed, whatever the partitioning."""
     return items.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def coverage_score(answer: Column, golden: Column) -> Column:
+    """The share of the golden text's words that an answer or context holds; 1 if there are none. A measure in the place of a judging model."""
+    from ..functions.text import tokens
+
+    words = F.array_distinct(tokens(golden))
+    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.array_intersect(words, tokens(answer))) / F.size(words))
+
+
+def corpus_of(items: DataFrame, limit: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """A corpus and its questions from multi-hop items (id, question, answer, context: array of (title, sentences)): texts (title, text), each once, and questions."""
+    some = items if limit is None else sampled(items, limit, seed)
+    each = some.select(F.inline("context")).select("title", F.array_join("sentences", " ").alias("text"))
+    return each.dropDuplicates(["title", "text"]), some.select("id", "question", "answer")
+
+
+def metric_statistics(rows: DataFrame, samples: int = 1000) -> DataFrame:
+    """Mean and interval of each metric (metric, score): metric, mean, low, high."""
+    from .catalog import bootstrap
+
+    return bootstrap(rows, "metric", "score", samples)

@@ -42,3 +42,17 @@ def origins(rules: DataFrame, chunks: DataFrame, max_rules: int = 10_000) -> Dat
 def numbered(rows: DataFrame, *partition: str, order: str) -> DataFrame:
     """rows with their number in each partition."""
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
+
+
+def enriched(pairs: DataFrame, answer, report, nodeset: str = "feedback_enrichments") -> DataFrame:
+    """A row for each negative feedback with a better answer and a report, both made by functions of Columns: id, feedback_id, interaction_id, improved_answer, text, nodeset.
+    pairs: feedback_id, interaction_id, question, answer."""
+    better = answer(F.col("question"), F.col("answer"))
+    out = pairs.withColumn("improved_answer", better).where("improved_answer is not null")
+    return out.select(uuid5(F.concat(F.col("feedback_id").cast("string"), F.lit("_enrichment"))).alias("id"), "feedback_id", "interaction_id", "improved_answer", report(F.col("question"), F.col("improved_answer")).alias("text"), F.lit(nodeset).alias("nodeset"))
+
+
+def enrichment_edges(rows: DataFrame) -> DataFrame:
+    """Two edges from each enrichment, to its feedback and to the interaction: src, dst, rel."""
+    pair = F.array(F.struct(F.col("feedback_id").cast("string").alias("dst"), F.lit("enriches_feedback").alias("rel")), F.struct(F.col("interaction_id").cast("string").alias("dst"), F.lit("improves_interaction").alias("rel")))
+    return rows.select(F.col("id").alias("src"), F.inline(pair))

@@ -68,3 +68,25 @@ def revoked(rows: DataFrame, removed: DataFrame) -> DataFrame:
     gone = removed.select("source_node_id", "destination_node_id").distinct().withColumn("__gone", F.lit(True))
     out = rows.join(gone, ["source_node_id", "destination_node_id"], "left")
     return out.withColumn("deleted_at", F.when(F.col("__gone") & F.col("deleted_at").isNull(), F.current_timestamp()).otherwise(F.col("deleted_at"))).drop("__gone")
+
+
+def own_properties(rows: DataFrame) -> DataFrame:
+    """rows without their nested fields (structs, and arrays or maps of them)."""
+
+    def is_nested(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return is_nested(kind.elementType)
+        return isinstance(kind, T.StructType) or isinstance(kind, T.MapType) and is_nested(kind.valueType)
+
+    return rows.select(*[F.col(f"`{f.name}`") for f in rows.schema.fields if not is_nested(f.dataType)])
+
+
+def copied_schema(schema: T.StructType, include: dict[str, str] | None = None, exclude: tuple[str, ...] = ()) -> T.StructType:
+    """A schema with some fields more (name to type) and some less."""
+    kept = [f for f in schema.fields if f.name not in exclude and f.name not in (include or {})]
+    return T.StructType([*kept, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in (include or {}).items())])
+
+
+def serialised(rows: DataFrame, key: str) -> DataFrame:
+    """Each row as JSON: key, json. Times in ISO form, decimals as numbers, bytes as base 64; nulls are left out."""
+    return rows.select(key, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))

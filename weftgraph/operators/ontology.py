@@ -159,27 +159,51 @@ def validated(rows: DataFrame, ontology: Ontology, name: str) -> DataFrame:
 
 
 def invalid_relations(nodes: DataFrame, edges: DataFrame, ontology: Ontology) -> DataFrame:
-    """Edges of an unknown relation or between types that it doesn't allow: src, dst, rel, issue."""
-    from .graph import with_ends
-
+    """Edges without an end, of an unknown relation or between types that it doesn't allow: src, dst, rel, issue."""
     spark = nodes.sparkSession
     known = F.broadcast(spark.createDataFrame([(r,) for r in ontology.relations], "rel string").withColumn("known", F.lit(True)))
     fits = F.broadcast(spark.createDataFrame(ontology.allowed(), "rel string, src_type string, dst_type string").withColumn("fits", F.lit(True)))
-    checked = with_ends(nodes, edges, "type").join(known, "rel", "left").join(fits, ["rel", "src_type", "dst_type"], "left")
-    issue = F.when(F.col("known").isNull(), "unknown relation").when(F.col("fits").isNull(), "types not allowed")
+    ended = edges
+    for end in ("src", "dst"):
+        ended = ended.join(nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type")), end, "left")
+    checked = ended.join(known, "rel", "left").join(fits, ["rel", "src_type", "dst_type"], "left")
+    missing = F.col("src_type").isNull() | F.col("dst_type").isNull()
+    issue = F.when(missing, "missing end").when(F.col("known").isNull(), "unknown relation").when(F.col("fits").isNull(), "types not allowed")
     return checked.withColumn("issue", issue).where("issue is not null").select("src", "dst", "rel", "issue")
 
 
 def evolution(old: Ontology, new: Ontology) -> list[tuple[str, str, str]]:
-    """Changes between two ontologies: (element, change, severity), severity being major, minor or patch."""
+    """Changes between two ontologies: (element, change, severity), severity being major, minor or patch. Every field of types, properties and relations is compared."""
     out = []
     for kind, a, b in (("entity", old.entities, new.entities), ("relation", old.relations, new.relations)):
         out += [(f"{kind}:{x}", "removed", "major") for x in a.keys() - b.keys()] + [(f"{kind}:{x}", "added", "minor") for x in b.keys() - a.keys()]
     for t in old.entities.keys() & new.entities.keys():
-        p, q = old.entities[t].properties, new.entities[t].properties
+        a, b = old.entities[t], new.entities[t]
+        p, q = a.properties, b.properties
         out += [(f"entity:{t}.{x}", "property removed", "major") for x in p.keys() - q.keys()]
         out += [(f"entity:{t}.{x}", "required property added" if q[x].required else "property added", "major" if q[x].required else "minor") for x in q.keys() - p.keys()]
-        out += [(f"entity:{t}.{x}", "property newly required", "major") for x in p.keys() & q.keys() if q[x].required and not p[x].required]
+        for x in p.keys() & q.keys():
+            if p[x].kind != q[x].kind:
+                out.append((f"entity:{t}.{x}", "property type changed", "major"))
+            if p[x].required != q[x].required:
+                out.append((f"entity:{t}.{x}", "property newly required" if q[x].required else "property no longer required", "major" if q[x].required else "minor"))
+            more, fewer = set(map(repr, q[x].constraints)) - set(map(repr, p[x].constraints)), set(map(repr, p[x].constraints)) - set(map(repr, q[x].constraints))
+            out += [(f"entity:{t}.{x}", "constraints tightened", "major")] if more else [(f"entity:{t}.{x}", "constraints relaxed", "minor")] if fewer else []
+        if set(a.parents) != set(b.parents):
+            out.append((f"entity:{t}", "parents changed", "major" if set(a.parents) - set(b.parents) else "minor"))
+        if a.abstract != b.abstract:
+            out.append((f"entity:{t}", "made abstract" if b.abstract else "no longer abstract", "major" if b.abstract else "minor"))
+    for r in old.relations.keys() & new.relations.keys():
+        a, b = old.relations[r], new.relations[r]
+        for end in ("sources", "targets"):
+            x, y = set(getattr(a, end)), set(getattr(b, end))
+            if x != y:
+                narrower = bool(y) and (not x or bool(x - y))
+                out.append((f"relation:{r}", f"{end} narrowed" if narrower else f"{end} widened", "major" if narrower else "minor"))
+        if (a.least, a.most) != (b.least, b.most):
+            tighter = b.least > a.least or b.most is not None and (a.most is None or b.most < a.most)
+            out.append((f"relation:{r}", "cardinality tightened" if tighter else "cardinality relaxed", "major" if tighter else "minor"))
+        out += [(f"relation:{r}", f"{k} changed", "minor") for k in ("symmetric", "transitive", "inverse_of") if getattr(a, k) != getattr(b, k)]
     return sorted(out)
 
 

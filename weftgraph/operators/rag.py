@@ -1,6 +1,7 @@
 """Grounding of answers in context, hallucination checks and context validation.
 
-Claims meet context entities through shared words first (an inverted index), so texts are compared only where they have a word in common."""
+Claims meet context entities through rare words (an inverted index with counted frequencies), chosen so that no link is missed: a text that holds another one holds its rarest word too, and two
+texts that share more than 0.4 of their words share one of the rarer 0.6 of either."""
 
 from __future__ import annotations
 
@@ -17,25 +18,49 @@ def claims(answers: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return answers.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("claim_index", "claim"))
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(split_words(F.lower(text)))
+def bare_words(text: Column) -> Column:
+    """Lower-case words without the punctuation around them, in order."""
+    bare = F.transform(split_words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(bare, lambda w: w != "")
+
+
+def _in_order(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def _by_rarity(texts: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """texts: keys, words. The distinct words of each, rarest first: keys, ranked."""
+    each = texts.select(*keys, F.explode(F.array_distinct("words")).alias("w")).join(counts, "w")
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ranked"))
 
 
 def provenance(claimed: DataFrame, context: DataFrame, id_col: str = "id") -> DataFrame:
     """Links of claims to context entities (entity_id, name, content): id, claim_index, entity_id, kind, confidence; the strongest kind of each pair.
 
-    quote: one text holds the other; paraphrase: more than 0.4 of the larger word set is shared; mention: the claim holds the entity's name."""
-    c = claimed.withColumn("words", word_set(F.col("claim")))
-    e = context.withColumn("words", word_set(F.concat_ws(" ", "name", "content")))
-    shared = c.select(id_col, "claim_index", F.explode("words").alias("w")).join(e.select("entity_id", F.explode("words").alias("w")), "w").select(id_col, "claim_index", "entity_id").distinct()
-    pairs = shared.join(c, [id_col, "claim_index"]).join(e.select("entity_id", "name", "content", F.col("words").alias("entity_words")), "entity_id")
-    low, content, name = F.lower(F.trim("claim")), F.lower(F.trim("content")), F.lower(F.trim("name"))
-    own = word_set(F.col("content"))
-    quote = (F.length(content) > 0) & (F.contains(content, low) | F.contains(low, content))
-    overlap = F.size(F.array_intersect("words", own)) / F.greatest(F.size("words"), F.size(own))
-    kind = F.when(quote, "quote").when(overlap > OVERLAP, "paraphrase").when((F.length(name) > 0) & F.contains(low, name), "mention")
-    linked = pairs.withColumn("kind", kind).where("kind is not null")
-    return linked.select(id_col, "claim_index", "entity_id", "kind", F.when(F.col("kind") == "quote", QUOTE).when(F.col("kind") == "paraphrase", PARAPHRASE).otherwise(MENTION).alias("confidence"))
+    Texts are compared as lower-case words without punctuation. quote: one text holds the other's words in a row; paraphrase: more than 0.4 of the larger word set is shared;
+    mention: the claim holds the name's words in a row."""
+    key = [id_col, "claim_index"]
+    c = claimed.select(*key, bare_words(F.col("claim")).alias("words"))
+    e = context.select("entity_id", bare_words(F.col("name")).alias("name_words"), bare_words(F.col("content")).alias("words"))
+    counts = c.select(F.explode(F.array_distinct("words")).alias("w")).unionByName(e.select(F.explode(F.array_distinct(F.concat("words", "name_words"))).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+    claims_ranked = _by_rarity(c, key, counts)
+    content_ranked = _by_rarity(e, ["entity_id"], counts)
+    name_ranked = _by_rarity(e.select("entity_id", F.col("name_words").alias("words")), ["entity_id"], counts)
+    rarest = lambda df, *k: df.select(*k, F.element_at("ranked", 1).alias("w"))
+    every = lambda df, *k: df.select(*k, F.explode("ranked").alias("w"))
+    # a set that shares more than 0.4 of n words shares one of the first n - floor(0.4 * n)
+    rarer = lambda df, *k: df.select(*k, F.explode(F.slice("ranked", 1, F.size("ranked") - F.floor(F.size("ranked") * OVERLAP).cast("int"))).alias("w"))
+    pairs = rarest(claims_ranked, *key).join(every(content_ranked, "entity_id"), "w")
+    pairs = pairs.unionByName(every(claims_ranked, *key).join(rarest(content_ranked, "entity_id").unionByName(rarest(name_ranked, "entity_id")), "w"))
+    pairs = pairs.unionByName(rarer(claims_ranked, *key).join(rarer(content_ranked, "entity_id"), "w")).select(*key, "entity_id").distinct()
+    both = pairs.join(c, key).join(e.withColumnRenamed("words", "content_words"), "entity_id")
+    claim, content, name = _in_order(F.col("words")), _in_order(F.col("content_words")), _in_order(F.col("name_words"))
+    quote = (F.size("words") > 0) & (F.size("content_words") > 0) & (F.contains(content, claim) | F.contains(claim, content))
+    a, b = F.array_distinct("words"), F.array_distinct("content_words")
+    overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
+    kind = F.when(quote, "quote").when(overlap > OVERLAP, "paraphrase").when((F.size("name_words") > 0) & F.contains(claim, name), "mention")
+    linked = both.withColumn("kind", kind).where("kind is not null")
+    return linked.select(*key, "entity_id", "kind", F.when(F.col("kind") == "quote", QUOTE).when(F.col("kind") == "paraphrase", PARAPHRASE).otherwise(MENTION).alias("confidence"))
 
 
 def grounded(claimed: DataFrame, links: DataFrame, id_col: str = "id") -> DataFrame:
@@ -121,3 +146,56 @@ def corrected(detected: DataFrame, id_col: str = "id", note: str = "Some stateme
     kept = F.filter(F.array_sort(F.collect_list(F.struct("claim_index", "claim", F.coalesce(F.col("severity") == "critical", F.lit(False)).alias("bad")))), lambda x: ~x["bad"])
     rows = detected.groupBy(id_col).agg(F.array_join(F.transform(kept, lambda x: x["claim"]), " ").alias("text"), F.bool_or(F.coalesce(F.col("severity") == "critical", F.lit(False))).alias("cut"))
     return rows.select(id_col, F.when(F.col("cut"), F.concat_ws(" ", F.nullif("text", F.lit("")), F.lit(note))).otherwise(F.col("text")).alias("text"))
+
+
+def relation_claims(claimed: DataFrame, names: DataFrame, id_col: str = "id") -> DataFrame:
+    """Pairs of known names (id, name) that a claim with a word of relation mentions: id, claim_index, src, dst."""
+    from ..functions.text import RELATION_WORDS
+
+    told = claimed.select(id_col, "claim_index", bare_words(F.col("claim")).alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, RELATION_WORDS))))
+    known = names.select(F.col("id").alias("entity"), F.array_join(bare_words(F.col("name")), " ").alias("n"), F.element_at(bare_words(F.col("name")), 1).alias("w")).where("w is not null")
+    met = told.select(id_col, "claim_index", "words", F.explode(F.array_distinct("words")).alias("w")).join(known, "w").where(F.contains(_in_order(F.col("words")), F.concat(F.lit(" "), F.col("n"), F.lit(" "))))
+    one = met.select(id_col, "claim_index", "entity").distinct()
+    return one.withColumnRenamed("entity", "src").join(one.withColumnRenamed("entity", "dst"), [id_col, "claim_index"]).where("src < dst")
+
+
+def relations_verified(claimed: DataFrame, names: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
+    """Each claim with whether the relations it tells of may exist: some edge, either way, joins two of the names it mentions; claims of fewer than two are not in doubt. id, claim_index, n_pairs, n_linked, is_supported."""
+    pairs = relation_claims(claimed, names, id_col)
+    linked = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("__linked", F.lit(1))
+    counts = pairs.join(linked, ["src", "dst"], "left").groupBy(id_col, "claim_index").agg(F.count("*").alias("n_pairs"), F.count("__linked").alias("n_linked"))
+    out = claimed.select(id_col, "claim_index").join(counts, [id_col, "claim_index"], "left").na.fill(0, ["n_pairs", "n_linked"])
+    return out.withColumn("is_supported", (F.col("n_pairs") == 0) | (F.col("n_linked") > 0))
+
+
+def validated_relations(nodes: DataFrame, edges: DataFrame, ontology) -> DataFrame:
+    """Edges with a validity: 1 if the ontology allows them, 0.5 if it doesn't. src, dst, rel, issue (null if there is none), validity."""
+    from .ontology import invalid_relations
+
+    bad = invalid_relations(nodes, edges, ontology).distinct()
+    out = edges.select("src", "dst", "rel").join(bad, ["src", "dst", "rel"], "left")
+    return out.withColumn("validity", F.when(F.col("issue").isNull(), 1.0).otherwise(0.5))
+
+
+def context_issues(checked: DataFrame, now: Column, id_col: str = "id", updated: str = "updated_at", max_age_days: int = 365, issue: str | None = None) -> DataFrame:
+    """Why context entities fall short, a row for each reason (of one kind if given): id, issue."""
+    reasons = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("ontology_valid", F.lit(False)), "ontology"),
+            F.when(F.length(F.trim(F.coalesce("name", F.lit("")))) == 0, "name"),
+            F.when(F.length(F.trim(F.coalesce("content", F.lit("")))) <= 10, "content"),
+            F.when(~F.coalesce(F.datediff(now, F.col(updated)) <= max_age_days, F.lit(False)), "stale"),
+        )
+    )
+    out = checked.select(id_col, F.explode(reasons).alias("issue"))
+    return out if issue is None else out.where(F.col("issue") == issue)
+
+
+def explained_provenance(claimed: DataFrame, links: DataFrame, id_col: str = "id") -> DataFrame:
+    """A line for each link of a claim, the surest first: id, claim_index, number, line; claims without a link get one that says so."""
+    from pyspark.sql import Window
+
+    out = claimed.join(links, [id_col, "claim_index"], "left")
+    order = Window.partitionBy(id_col, "claim_index").orderBy(F.desc("confidence"), "entity_id")
+    line = F.when(F.col("entity_id").isNull(), "no source").otherwise(F.format_string("%s of %s, confidence %.2f", "kind", F.col("entity_id").cast("string"), "confidence"))
+    return out.select(id_col, "claim_index", F.row_number().over(order).alias("number"), line.alias("line"))

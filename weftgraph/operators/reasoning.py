@@ -69,7 +69,7 @@ def reasoned(vectors: DataFrame, edges: DataFrame, entity, transitive_rels: list
 
 
 def hops(vectors: DataFrame, edges: DataFrame, entity, n: int = 2, k: int = 5, max_frontier: int = 10_000) -> DataFrame:
-    """Entities reached in n steps, each to neighbours by relation and to the k nearest vectors: id, hop (the first). Frontiers are counted before they are broadcast."""
+    """Entities reached in n steps, each to neighbours by relation and to the k nearest vectors: id, hop (the first). Frontiers are counted and broadcast in blocks."""
     from . import search
     from .graph import both_ways
 

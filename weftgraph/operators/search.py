@@ -33,15 +33,18 @@ def most_similar(vectors: DataFrame, query: list[float], k: int = 10, threshold:
 
 
 def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = 10_000) -> DataFrame:
-    """The k nearest vectors of each query: query, id, similarity, rank. queries: id, vector; at most max_queries rows, which are counted first and broadcast, so that
-    every vector is read once and only each task's best reach the final ranking."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; pass them in blocks")
-    q = F.broadcast(queries.select(F.col("id").alias("query"), V.as_doubles(F.col("vector")).alias("q")))
-    pairs = vectors.select("id", V.as_doubles(F.col("vector")).alias("v")).join(q, F.lit(True)).select("query", "id", V.cosine_similarity(F.col("v"), F.col("q")).alias("similarity"))
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k nearest vectors of each query: query, id, similarity, rank. queries: id, vector. They are counted, dealt into blocks of about max_queries and broadcast block by block, so that
+    every vector is read once for each block and only each task's best reach the final ranking."""
+    blocks = max(1, -(-queries.count() // max_queries))
+    out = None
+    for block in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        q = F.broadcast(own.select(F.col("id").alias("query"), V.as_doubles(F.col("vector")).alias("q")))
+        pairs = vectors.select("id", V.as_doubles(F.col("vector")).alias("v")).join(q, F.lit(True)).select("query", "id", V.cosine_similarity(F.col("v"), F.col("q")).alias("similarity"))
+        order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def vector_of(vectors: DataFrame, entity) -> list[float]:

@@ -24,13 +24,22 @@ def as_of(changes: DataFrame, entity: str, ts: str, tie: str, moment: Column) ->
     return changes.where(F.col(ts) <= moment).groupBy(entity).agg(best).select(entity, *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """left with the latest value of right at or before each row's time: value. One shuffle by key; union and a running last value take the place of
-    a range join."""
-    a = left.select(key, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__value"))
-    b = right.select(key, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__value"))
-    w = Window.partitionBy(key).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 1").select("__row.*", F.col("__value").alias(value))
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, bucket: str = "month") -> DataFrame:
+    """left with the latest value of right at or before each row's time: value. A union and a running last value take the place of
+    a range join. They run by key and bucket of time, so that one key's long history is dealt over tasks; what a bucket begins with is the last value of the buckets before it, which
+    come as one row for each key and bucket."""
+    kind = dict(right.dtypes)[value]
+    at = lambda c: F.date_trunc(bucket, F.col(c).cast("timestamp_ntz"))
+    a = left.select(F.col(key).alias("__key"), at(left_ts).alias("__bucket"), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__value"))
+    b = right.where(F.col(value).isNotNull()).select(F.col(key).alias("__key"), at(right_ts).alias("__bucket"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__value"))
+    ends = b.groupBy("__key", "__bucket").agg(F.max(F.struct("__ts", "__value"))["__value"].alias("__last"))
+    buckets = a.select("__key", "__bucket").distinct().join(ends, ["__key", "__bucket"], "full")
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).select(F.col("__key").alias("__k"), F.col("__bucket").alias("__b"), "__carried")
+    within = Window.partitionBy("__key", "__bucket").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    running = a.unionByName(b).withColumn("__value", F.last("__value", ignorenulls=True).over(within)).where("__side = 1")
+    joined = running.join(carried, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__bucket").eqNullSafe(F.col("__b")), "left")
+    return joined.select("__row.*", F.coalesce("__value", "__carried").alias(value))
 
 
 def property_changes(old: Column, new: Column) -> Column:

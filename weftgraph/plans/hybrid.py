@@ -71,6 +71,9 @@ class HybridQueryBuilder:
     def with_weights(self, vector: float, graph: float) -> HybridQueryBuilder:
         return self._with(vector_weight=vector, graph_weight=graph)
 
+    def with_valid_only(self) -> HybridQueryBuilder:
+        return self._with(valid_only=True)
+
     def vector_only(self) -> HybridQueryBuilder:
         return self._with(vector_weight=1.0, graph_weight=0.0, start=None)
 
@@ -82,14 +85,18 @@ class HybridQueryBuilder:
 
 
 def run(query: HybridQuery, vectors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, similarity, centrality, score, explanation of the best results. vectors: id, type, vector."""
+    """id, similarity, centrality, score, explanation of the best results. vectors: id, type, vector. If only valid entities are wanted, nodes need a column ontology_valid."""
     if query.relations is not None:
         edges = edges.where(F.col("rel").isin(list(query.relations)))
     if query.vector is not None:
+        if query.valid_only:
+            vectors = vectors.join(nodes.where("ontology_valid").select("id"), "id", "left_semi")
         found = search.most_similar(vectors, list(query.vector), query.top_k, query.threshold, list(query.types) if query.types is not None else None).select("id", "type", "similarity")
     else:
         start = nodes.where(F.col("id") == query.start).select("id")
         found = graph.reached(edges, start, query.depth).join(nodes.select("id", "type"), "id").select("id", "type", F.lit(0.0).alias("similarity"))
+    if query.valid_only:
+        found = found.join(nodes.where("ontology_valid").select("id"), "id", "left_semi")
     if query.excluded_types:
         found = found.where(~F.col("type").isin(list(query.excluded_types)))
     seeds = found.orderBy(F.desc("similarity"), "id").limit(10).select("id")

@@ -58,3 +58,38 @@ def run(pipeline: Pipeline, items: DataFrame, path: str, runs_path: str, dataset
 
 def runs(spark: SparkSession, runs_path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(runs_path)
+
+
+def default_tasks(chunk: Task, extract: Task, store: Task, summarise: Task | None = None) -> tuple[Task, ...]:
+    """The tasks from documents to a graph: chunks, extraction, summaries if wanted, and what stores them."""
+    return tuple(t for t in (chunk, extract, summarise, store) if t is not None)
+
+
+def temporal_tasks(chunk: Task, events: Task, extract: Task, store: Task) -> tuple[Task, ...]:
+    """Like default_tasks(), with events and their times before the entities."""
+    return chunk, events, extract, store
+
+
+def add(known: DataFrame, documents: DataFrame, dataset: str, text: str = "text") -> DataFrame:
+    """known (content_hash, dataset, text) with documents that the dataset lacks, by content, each once."""
+    new = documents.select(F.md5(text).alias("content_hash"), F.lit(dataset).alias("dataset"), F.col(text).alias("text")).dropDuplicates(["content_hash"])
+    return known.unionByName(new.join(known, ["content_hash", "dataset"], "left_anti").select(*known.columns))
+
+
+def memify(nodes: DataFrame, edges: DataFrame, extract: Callable[[DataFrame, DataFrame], DataFrame], enrich: tuple[Task, ...]) -> DataFrame:
+    """Enrichment of a graph: extract() takes rows from nodes and edges, and tasks go over them."""
+    return reduce(lambda df, task: df.transform(task), enrich, extract(nodes, edges))
+
+
+def subgraph_chunks(nodes: DataFrame, edges: DataFrame, chunk_type: str = "DocumentChunk", text: str = "text") -> DataFrame:
+    """Texts of a graph's chunks: id, text; for memify()."""
+    return nodes.where((F.col("type") == chunk_type) & (F.length(F.trim(text)) > 0)).select("id", text)
+
+
+def triplet_index(nodes: DataFrame, edges: DataFrame, embed: Callable | None = None, name: str = "name") -> DataFrame:
+    """Triplets as rows to be indexed: id, text, and a vector if an embedder of Columns is given."""
+    from ..functions.ids import uuid5
+    from ..operators.graph import triplets
+
+    rows = triplets(nodes, edges, name).select(uuid5(F.concat("src", "rel", "dst")).alias("id"), "text")
+    return rows if embed is None else rows.withColumn("vector", embed(F.col("text")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids as I
@@ -31,6 +31,7 @@ from .plans import hybrid as H
 from .plans import pipelines as J
 from .sources import files as B
 from .sources import relational as D
+from .sources import tables as T
 from .streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,7 @@ _BOTH = "both_ways AS (SELECT src AS id, dst AS other, rel FROM edges UNION ALL
 _VEC = "v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS type, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), q AS (SELECT vector AS qv FROM v WHERE id = 0)"
 
 
-# --- sources -------------------------------------------------------------------------------------------------------------
+# --- sources
 
 
 @query(
@@ -187,7 +188,7 @@ def node_ids(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "nation").select("n_name", I.node_id(F.col("n_name")).alias("node_id"))
 
 
-# --- changes -------------------------------------------------------------------------------------------------------------
+# --- changes
 
 
 def _customer_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -221,9 +222,9 @@ def delete_in_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.without_in_edges(_edges(spark, d), _ids(spark, "nation:1", "nation:2"), "c_nationkey").select("src", "dst", "rel")
 
 
-@query(f"WITH {_E} SELECT src, dst, rel, CASE WHEN rel = 'n_regionkey' AND dst = 'region:1' THEN 0.5 ELSE 0.0 END + CASE WHEN rel = 'n_regionkey' AND src = 'nation:1' THEN 1.0 ELSE 0.0 END AS weight FROM edges WHERE rel <> 'o_custkey'")
+@query(f"WITH {_E} SELECT src, dst, rel, CASE WHEN rel = 'n_regionkey' AND dst = 'region:1' THEN 0.5 ELSE 0.0 END + CASE WHEN rel = 'n_regionkey' AND src = 'nation:1' THEN 1.0 ELSE 0.0 END AS weight FROM edges")
 def feedback_weights(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).where("rel <> 'o_custkey'").withColumn("weight", F.lit(0.0))
+    edges = _edges(spark, d).withColumn("weight", F.lit(0.0))
     return G.feedback_applied(edges, spark.createDataFrame([("region:1", 0.5), ("nation:1", 0.75), ("nation:1", 0.25)], "id string, weight double"), "n_regionkey")
 
 
@@ -245,10 +246,10 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, count(*) OVER (PARTITION BY md5(text)) = 1 AS sole_referrer FROM documents")
 def sole_referrers(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", (F.count("*").over(Window.partitionBy(F.md5("text"))) == 1).alias("sole_referrer"))
+    return T.sole_referrers(_t(spark, d, "documents"), "doc_id", F.md5("text"))
 
 
-# --- vectors -------------------------------------------------------------------------------------------------------------
+# --- vectors
 
 
 @query(f"WITH {_VEC} SELECT id, round(list_distance(vector, qv) * list_distance(vector, qv), 6) AS distance FROM v, q ORDER BY list_distance(vector, qv), id LIMIT 15")
@@ -312,17 +313,26 @@ def inferred_types(spark: SparkSession, d: str) -> DataFrame:
     return S.inferred_types(_vectors(spark, d), 0, threshold=0.0).select("type", F.round("mean_similarity", 6).alias("mean_similarity"), "n")
 
 
-# --- hybrid --------------------------------------------------------------------------------------------------------------
+# --- hybrid
 
 
 def _similar_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers with vectors, one for each key that has one, in the graph of customers, nations and regions."""
+    """Customers with vectors, one for each key that has one, in the graph of all rows."""
     v = _vectors(spark, d).select(F.concat(F.lit("customer:"), "id").alias("id"), "type", "vector")
-    catalog = tuple(t for t in _GRAPH if t.name != "orders")
-    return v, D.row_nodes(spark, d, catalog), D.foreign_key_edges(spark, d, catalog)
+    return v, _nodes(spark, d), _edges(spark, d)
 
 
-@query()
+_CV = "v AS (SELECT 'customer:'||vec_id AS id, CAST(label AS VARCHAR) AS type, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
+_SUB = """w1 AS (SELECT id, 0 AS depth FROM seeds UNION SELECT b.other, 1 FROM both_ways b JOIN seeds s ON b.id = s.id), w2 AS (SELECT id, depth FROM w1 UNION SELECT b.other, 2 FROM both_ways b JOIN w1 w ON b.id = w.id),
+near AS (SELECT id, min(depth) AS depth FROM w2 JOIN nodes USING (id) GROUP BY id ORDER BY depth, id LIMIT 100), kept AS (SELECT src, dst, rel FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near) ORDER BY src, dst, rel LIMIT 200)"""
+_CENTRAL = "deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM kept UNION ALL SELECT dst FROM kept) GROUP BY id), c AS (SELECT id, n / max(n) OVER () AS c FROM deg)"
+
+
+@query(
+    f"""WITH {_N}, {_E}, {_BOTH}, {_CV}, q AS (SELECT vector AS qv FROM v WHERE id = 'customer:1'), found AS (SELECT id, list_cosine_similarity(vector, qv) AS s FROM v, q ORDER BY s DESC, id LIMIT 50),
+seeds AS (SELECT id FROM found ORDER BY s DESC, id LIMIT 10), {_SUB}, {_CENTRAL}, r AS (SELECT f.id, s, coalesce(c, 0.0) AS c, 0.7 * s + 0.3 * coalesce(c, 0.0) AS score FROM found f LEFT JOIN c ON f.id = c.id)
+SELECT id, round(score, 6) AS score, round(c, 6) AS centrality, printf('similarity %.2f | centrality %.2f | relevance %.2f', s, c, score) AS explanation FROM r ORDER BY r.score DESC, id LIMIT 20"""
+)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     v, nodes, edges = _similar_graph(spark, d)
     q = H.HybridQueryBuilder().with_vector(S.vector_of(v, "customer:1")).with_top_k(50).with_max_results(20).build()
@@ -332,7 +342,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH v AS (SELECT 'customer:'||vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), q AS (SELECT vector AS qv FROM v WHERE id = 'customer:1'),
 k AS (SELECT id, list_cosine_similarity(vector, qv) AS s FROM v, q ORDER BY s DESC, id LIMIT 50),
-e AS (SELECT 'nation:'||n_nationkey AS src, 'region:'||n_regionkey AS dst FROM nation UNION ALL SELECT 'customer:'||c_custkey, 'nation:'||c_nationkey FROM customer UNION ALL SELECT 'supplier:'||s_suppkey, 'nation:'||s_nationkey FROM supplier),
+e AS (SELECT 'nation:'||n_nationkey AS src, 'region:'||n_regionkey AS dst FROM nation UNION ALL SELECT 'customer:'||c_custkey, 'nation:'||c_nationkey FROM customer UNION ALL SELECT 'supplier:'||s_suppkey, 'nation:'||s_nationkey FROM supplier UNION ALL SELECT 'orders:'||o_orderkey, 'customer:'||o_custkey FROM orders),
 g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id), c AS (SELECT id, n / max(n) OVER () AS c FROM g)
 SELECT k.id, round(0.7 * s + 0.3 * coalesce(c, 0), 6) AS score FROM k LEFT JOIN c ON k.id = c.id ORDER BY 0.7 * s + 0.3 * coalesce(c, 0) DESC, k.id LIMIT 20"""
 )
@@ -342,7 +352,10 @@ def hybrid_ranked(spark: SparkSession, d: str) -> DataFrame:
     return S.ranked(found, S.centrality(edges), k=20).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH {_N}, {_E}, {_BOTH}, a1 AS (SELECT 'nation:3' AS id UNION SELECT other FROM both_ways WHERE id = 'nation:3'), found AS (SELECT id FROM nodes WHERE id IN (SELECT id FROM a1 UNION SELECT b.other FROM both_ways b JOIN a1 ON b.id = a1.id)),
+seeds AS (SELECT id FROM found ORDER BY id LIMIT 10), {_SUB}, {_CENTRAL} SELECT f.id, round(coalesce(c, 0.0), 6) AS score FROM found f LEFT JOIN c ON f.id = c.id ORDER BY coalesce(c, 0.0) DESC, f.id LIMIT 20"""
+)
 def graph_only_search(spark: SparkSession, d: str) -> DataFrame:
     v, nodes, edges = _similar_graph(spark, d)
     return H.run(H.HybridQueryBuilder().graph_only("nation:3").with_max_results(20).build(), v, nodes, edges).select("id", F.round("score", 6).alias("score"))
@@ -363,7 +376,7 @@ def triplet_search(spark: SparkSession, d: str) -> DataFrame:
     return G.top_triplets(around, hits, none, 5).select("src", "rel", "dst", F.round("score", 6).alias("score"))
 
 
-# --- graph ---------------------------------------------------------------------------------------------------------------
+# --- graph
 
 
 @query(f"WITH {_E}, {_BOTH} SELECT DISTINCT id, other FROM both_ways WHERE id IN ('nation:1', 'customer:7')")
@@ -455,7 +468,7 @@ def breadth_first(spark: SparkSession, d: str) -> DataFrame:
     return G.reached(_edges(spark, d), _ids(spark, "customer:7"), 2)
 
 
-@query()
+@query(f"WITH {_N}, {_E}, {_BOTH}, seeds AS (SELECT 'nation:3' AS id), {_SUB} SELECT * FROM kept")
 def bounded_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return G.subgraph(_nodes(spark, d), _edges(spark, d), _ids(spark, "nation:3"), 2, 100, 200)[1].select("src", "dst", "rel")
 
@@ -496,11 +509,11 @@ def clustering(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_E}, {_BOTH}, w AS (SELECT 'nation:1' AS source, 'nation:1' AS id, 0 AS distance UNION SELECT source, other, distance + 1 FROM w JOIN both_ways b ON w.id = b.id WHERE distance < 4 AND b.rel <> 'o_custkey')
+    f"""WITH RECURSIVE {_E}, {_BOTH}, w AS (SELECT 'nation:1' AS source, 'nation:1' AS id, 0 AS distance UNION SELECT source, other, distance + 1 FROM w JOIN both_ways b ON w.id = b.id WHERE distance < 4)
 SELECT source, id, min(distance) AS distance FROM w WHERE id <> source GROUP BY source, id"""
 )
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return G.path_lengths(_edges(spark, d).where("rel <> 'o_custkey'"), _ids(spark, "nation:1"), 4)
+    return G.path_lengths(_edges(spark, d), _ids(spark, "nation:1"), 4)
 
 
 @query(f"WITH {_N} SELECT id, type, id AS label FROM nodes")
@@ -513,7 +526,7 @@ def keep_first(spark: SparkSession, d: str) -> DataFrame:
     return G.first_of_each(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-# --- reasoning and ontology ----------------------------------------------------------------------------------------------
+# --- reasoning and ontology
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
@@ -552,14 +565,25 @@ def cardinality(spark: SparkSession, d: str) -> DataFrame:
     return N.cardinality_violations(_nodes(spark, d), e, [("nation", "in_segment", 1, 60)])
 
 
-@query()
+@query(
+    f"""WITH {_E}, {_CV}, q AS (SELECT vector AS qv FROM v WHERE id = 'customer:1'), l AS (SELECT DISTINCT src, dst FROM edges), one AS (SELECT src, dst FROM l WHERE src = 'customer:1'), two AS (SELECT o.src, l.dst FROM one o JOIN l ON o.dst = l.src),
+chains AS (SELECT src, dst FROM two UNION SELECT t.src, l.dst FROM two t JOIN l ON t.dst = l.src), near AS (SELECT id, list_cosine_similarity(vector, qv) AS s FROM v, q WHERE type IN ('1', '2') ORDER BY s DESC, id LIMIT 15)
+SELECT 'transitive' AS kind, src, 'LOCATED_IN' AS rel, dst, 1.0::DOUBLE AS confidence FROM chains WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM l)
+UNION ALL SELECT * FROM (SELECT 'suggested', 'customer:1', 'RELATED_TO', id, round(0.8 * s, 6) FROM near WHERE id <> 'customer:1' ORDER BY s DESC, id LIMIT 5)"""
+)
 def hybrid_reasoning(spark: SparkSession, d: str) -> DataFrame:
     v, _, edges = _similar_graph(spark, d)
     located = edges.select("src", "dst", F.lit("LOCATED_IN").alias("rel"))
     return N.reasoned(v, located, "customer:1", ["LOCATED_IN"], ["RELATED_TO"], ["1", "2"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(
+    f"""WITH {_E}, {_BOTH}, {_CV}, h0 AS (SELECT 'customer:1' AS id), k1 AS (SELECT b.id FROM v a, v b WHERE a.id = 'customer:1' ORDER BY list_cosine_similarity(b.vector, a.vector) DESC, b.id LIMIT 6),
+h1 AS (SELECT id FROM (SELECT other AS id FROM both_ways WHERE id = 'customer:1' UNION SELECT id FROM k1) WHERE id <> 'customer:1'),
+p AS (SELECT b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(b.vector, a.vector) DESC, b.id) AS r FROM v a JOIN h1 ON a.id = h1.id, v b),
+h2 AS (SELECT id FROM (SELECT other AS id FROM both_ways WHERE id IN (SELECT id FROM h1) UNION SELECT id FROM p WHERE r <= 6) WHERE id <> 'customer:1' AND id NOT IN (SELECT id FROM h1))
+SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2"""
+)
 def multi_hop(spark: SparkSession, d: str) -> DataFrame:
     v, _, edges = _similar_graph(spark, d)
     return N.hops(v, edges, "customer:1", 2)
@@ -619,7 +643,7 @@ def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
     return W.closest(names, kinds).select("p_partkey", "name", "match")
 
 
-# --- versions and audit --------------------------------------------------------------------------------------------------
+# --- versions and audit
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_number FROM events")
@@ -679,7 +703,7 @@ def audit_query(spark: SparkSession, d: str) -> DataFrame:
     return A.query_log(_t(spark, d, "events"), "ts", since=F.lit("2024-01-20").cast("timestamp_ntz"), limit=100, event_type="error").select("event_id", "ts", "user_id")
 
 
-# --- texts ---------------------------------------------------------------------------------------------------------------
+# --- texts
 
 _TOKENS = "list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_\\p{{M}}]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))"
 
@@ -693,13 +717,17 @@ def lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return L.search(_t(spark, d, "documents"), q, 10, id_col="doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT {_TOKENS.format(x="text")} AS q FROM benchmark WHERE item_id = 1), t AS (SELECT doc_id, {_TOKENS.format(x="text")} AS t FROM documents), qc AS (SELECT w, count(*) AS n FROM (SELECT unnest(q) AS w FROM q) GROUP BY w),
+tc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(t) AS w FROM t) GROUP BY doc_id, w), low AS (SELECT doc_id, sum(least(qc.n, tc.n)) AS low FROM tc JOIN qc USING (w) GROUP BY doc_id)
+SELECT t.doc_id, round(coalesce(low, 0) / (len(q) + len(t) - coalesce(low, 0)), 9) AS score FROM q, t LEFT JOIN low ON t.doc_id = low.doc_id WHERE len(t) > 0 ORDER BY coalesce(low, 0) / (len(q) + len(t) - coalesce(low, 0)) DESC, t.doc_id LIMIT 10"""
+)
 def lexical_multiset_search(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "benchmark").where("item_id = 1").first()["text"]
     return L.search(_t(spark, d, "documents"), q, 10, L.multiset_jaccard, id_col="doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("\nUNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in X.ENTITY_PATTERNS.items()))
+@query("\nUNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in ((k, p.replace("'", "''")) for k, p in X.ENTITY_PATTERNS.items())))
 def regex_entities(spark: SparkSession, d: str) -> DataFrame:
     return X.entities(_t(spark, d, "documents"), "doc_id", "text")
 
@@ -727,12 +755,16 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", X.title(F.col("text")).alias("title"))
 
 
-@query("SELECT item_id, unnest(range(0, length(text), 80)) // 80 AS i, substr(text, unnest(range(0, length(text), 80)) + 1, 100) AS chunk FROM benchmark")
+@query("SELECT doc_id, unnest(range(0, length(text), 80)) // 80 AS i, array_to_string(string_split(text, '')[unnest(range(0, length(text), 80)) + 1 : unnest(range(0, length(text), 80)) + 100], '') AS chunk FROM documents")
 def exact_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "benchmark").select("item_id", F.posexplode(K.exact_windows(F.col("text"), 100, 20)).alias("i", "chunk")).withColumn("i", F.col("i").cast("long"))
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(K.exact_windows(F.col("text"), 100, 20)).alias("i", "chunk")).withColumn("i", F.col("i").cast("long"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?…]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) > 200 THEN list_transform(range(0, length(x), 200), lambda k: substr(x, k + 1, 200)) ELSE [x] END)) AS c FROM s)
+SELECT doc_id, unnest(range(0, len(c)))::INT AS i, unnest(c) AS chunk FROM w"""
+)
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.posexplode(K.by_sentence(F.col("text"), 200)).alias("i", "chunk"))
 
@@ -747,7 +779,7 @@ def overlapping_chunks(spark: SparkSession, d: str) -> DataFrame:
     return K.chunked(_t(spark, d, "documents"), "overlap", 128, 0.25)
 
 
-# --- grounding -----------------------------------------------------------------------------------------------------------
+# --- grounding
 
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -757,7 +789,18 @@ def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return answers, context
 
 
-@query()
+_BARE = "list_filter(list_transform(string_split_regex(lower({x}), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
+_ROW = "' ' || array_to_string({x}, ' ') || ' '"
+_LINKS = f"""a AS (SELECT conv_id||'-'||turn AS id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS c FROM conversations WHERE role = 'assistant'),
+claims AS (SELECT id, unnest(range(0, len(c)))::INT AS claim_index, unnest(c) AS claim FROM a), cw AS (SELECT id, claim_index, {_BARE.format(x="claim")} AS w FROM claims),
+ew AS (SELECT item_id AS entity_id, {_BARE.format(x="text")} AS w, {_BARE.format(x="array_to_string(list_filter(string_split_regex(text, '\\\\s+'), lambda y: y <> '')[1:3], ' ')".replace("\\\\", "\\"))} AS nw FROM benchmark),
+c2 AS (SELECT *, {_ROW.format(x="w")} AS s, list_distinct(w) AS u FROM cw), e2 AS (SELECT *, {_ROW.format(x="w")} AS s, {_ROW.format(x="nw")} AS ns, list_distinct(w) AS u FROM ew),
+scored AS (SELECT c2.id, claim_index, entity_id, CASE WHEN len(c2.w) > 0 AND len(e2.w) > 0 AND (contains(e2.s, c2.s) OR contains(c2.s, e2.s)) THEN 0.95 WHEN len(list_intersect(c2.u, e2.u)) > 0.4 * greatest(len(c2.u), len(e2.u)) AND len(c2.u) > 0 THEN 0.75
+ WHEN len(nw) > 0 AND contains(c2.s, ns) THEN 0.6 END AS confidence FROM c2, e2), links AS (SELECT * FROM scored WHERE confidence IS NOT NULL), best AS (SELECT id, claim_index, max(confidence) AS confidence FROM links GROUP BY 1, 2),
+g AS (SELECT claims.id, claims.claim_index, claim, confidence, confidence IS NOT NULL AS is_grounded FROM claims LEFT JOIN best USING (id, claim_index))"""
+
+
+@query(f"WITH {_LINKS} SELECT id, round(avg(is_grounded::INT), 9) AS coverage, count(*) AS n_claims FROM g GROUP BY id")
 def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
     answers, context = _answers(spark, d)
     claimed = R.claims(answers)
@@ -785,7 +828,12 @@ def fabricated_mentions(spark: SparkSession, d: str) -> DataFrame:
     return R.fabricated(R.mentions(claimed), names).select("id", "mention")
 
 
-@query()
+@query(
+    f"""WITH {_LINKS}, known AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS n FROM benchmark), m AS (SELECT id, claim_index, unnest(regexp_extract_all(claim, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS mention FROM claims),
+bad AS (SELECT DISTINCT id, claim_index FROM m WHERE lower(mention) NOT IN (SELECT n FROM known)), t AS (SELECT g.id, bad.id IS NOT NULL AS critical, bad.id IS NOT NULL OR NOT is_grounded AS detected FROM g LEFT JOIN bad USING (id, claim_index)),
+n AS (SELECT id, sum(detected::INT) AS u, sum(critical::INT) AS c, count(*) AS n FROM t GROUP BY id), r AS (SELECT id, c, least(1.0, 0.6 * u / n + 0.4 * c / n + CASE WHEN u / n > 0.5 THEN 0.2 ELSE 0 END) AS risk FROM n)
+SELECT id, round(risk, 9) AS risk, risk < 0.3 AND c = 0 AS is_trustworthy FROM r"""
+)
 def hallucination_risks(spark: SparkSession, d: str) -> DataFrame:
     answers, context = _answers(spark, d)
     claimed = R.claims(answers)
@@ -794,7 +842,10 @@ def hallucination_risks(spark: SparkSession, d: str) -> DataFrame:
     return R.answer_risks(found).select("id", F.round("risk", 9).alias("risk"), "is_trustworthy")
 
 
-@query()
+@query(
+    f"""WITH {_LINKS}, num AS (SELECT id, entity_id, row_number() OVER (PARTITION BY id ORDER BY entity_id) AS number FROM (SELECT DISTINCT id, entity_id FROM links)), m AS (SELECT id, claim_index, string_agg('['||number||']', '' ORDER BY number) AS m FROM links JOIN num USING (id, entity_id) GROUP BY 1, 2)
+SELECT id, string_agg(claim || coalesce(' '||m, ''), ' ' ORDER BY claim_index) AS text FROM claims LEFT JOIN m USING (id, claim_index) GROUP BY id"""
+)
 def annotated_answers(spark: SparkSession, d: str) -> DataFrame:
     answers, context = _answers(spark, d)
     claimed = R.claims(answers)
@@ -802,7 +853,7 @@ def annotated_answers(spark: SparkSession, d: str) -> DataFrame:
     return R.annotated(R.grounded(claimed, links), R.citation_numbers(links))
 
 
-# --- catalog, sessions, streams ------------------------------------------------------------------------------------------
+# --- catalog, sessions, streams
 
 
 @query(
@@ -855,7 +906,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.sessions(_t(spark, d, "events"))
 
 
-# --- dispatch, pipelines, evaluation, feedback ---------------------------------------------------------------------------
+# --- dispatch, pipelines, evaluation, feedback
 
 
 @query(
@@ -913,7 +964,7 @@ def score_intervals(spark: SparkSession, d: str) -> DataFrame:
     return C.bootstrap(_t(spark, d, "events"), "event_type", "value", samples=200)
 
 
-# --- nested records and collections --------------------------------------------------------------------------------------
+# --- nested records and collections
 
 
 def _nested_orders(spark: SparkSession, d: str) -> DataFrame:
