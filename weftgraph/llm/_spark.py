@@ -34,9 +34,11 @@ def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset in local mode (tests); else an error."""
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="weft-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
