@@ -10,12 +10,17 @@ from ..functions.text import tokens
 KEY = ["entity_id", "kind"]
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), where value is computed once however often it comes up."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def hashed(text: Column, dimensions: int = 64) -> Column:
     """A deterministic vector of a text, of length 1: words are hashed to places with a sign and counted. Without words all places are 0. A model's function may take its place."""
-    word = F.transform(tokens(text, ()), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(word, lambda w: w["at"] == i), F.lit(0.0), lambda s, w: s + w["sign"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    words = F.transform(tokens(text, ()), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
+    sums = F.aggregate(words, F.array_repeat(F.lit(0.0), dimensions), lambda s, w: F.transform(s, lambda x, i: x + F.when(i == w["at"], w["sign"]).otherwise(0.0)))
+    norm = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda t, x: t + x * x))
+    return _let(sums, lambda s: _let(norm(s), lambda n: F.transform(s, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def problems(records: DataFrame) -> DataFrame:

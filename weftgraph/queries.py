@@ -1019,10 +1019,14 @@ def change_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import knowledge_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import knowledge_queries  # noqa: F401
+
     return dict(_ORACLES)
 
 
