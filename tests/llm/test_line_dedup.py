@@ -114,3 +114,12 @@ def test_short_sentences_repeat_from_four_on(spark):
     line = "Yes it is. No it is not. Well then. Go on now."
     found = run(spark, [(1, f"Before all. {line} After all."), (2, f"Other words.\n{line}\nEr.")])
     assert found[1].n_removed_words == 0 and (found[2].text, found[2].n_removed_words) == ("Other words.\nEr.", 12)
+
+
+def test_passages_whose_parts_came_up_before_in_other_company(spark):
+    """Every pair of neighbouring sentences comes up in an earlier document, in other contexts; the whole passage goes at its second place all the same."""
+    rnd = random.Random(9)
+    six = [sentence(rnd, 14) for _ in range(6)]
+    pairs = " ".join(f"{a} {b} {sentence(rnd, 11)}" for a, b in zip(six[:-1], six[1:], strict=True))
+    found = run(spark, [(1, pairs), (2, f"{sentence(rnd)} {' '.join(six)} {sentence(rnd)}"), (3, f"{sentence(rnd)} {' '.join(six)} {sentence(rnd)}")])
+    assert found[1].n_removed_words == 28 * 0 and found[3].n_removed_words == 84 and not any(x in found[3].text for x in six)

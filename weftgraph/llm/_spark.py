@@ -55,3 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def with_own_names(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns of df (values) under internal names (keys), so that clashing extra columns cannot interfere."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

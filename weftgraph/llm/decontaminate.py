@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._spark import arrow_batches, lean, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, unused, with_own_names
 from ._text import TOKEN, _power, mix, shingles, spans_hash, text_slices, words
 
 SEED, COVERAGE = 5, 0.8
@@ -224,9 +224,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     items = with_own_names(benchmark, id=item_col, text=item_text_col)
     carried = _carried(items)
     if carried is None:
-        bad = _tiled_apart(with_own_names(docs, id=id_col, text=text_col), items, COVERAGE).select(F.col("key").alias("__bad")).distinct()
+        bad = _tiled_apart(with_own_names(docs, id=id_col, text=text_col), items, COVERAGE).select(F.col("key").alias(name := unused(docs, "bad"))).distinct()
         text = F.col(f"`{text_col}`")
-        return docs.join(bad, F.concat_ws(":", F.xxhash64(text), F.xxhash64(text, F.lit(1))) == F.col("__bad"), "left_anti")
+        return docs.join(bad, F.concat_ws(":", F.xxhash64(text), F.xxhash64(text, F.lit(1))) == F.col(name), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(carried)
     at = docs.columns.index(text_col)
 

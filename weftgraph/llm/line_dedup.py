@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, lean, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, unused, with_own_names
 from ._text import _power, mix, spans_hash, text_slices, words
 
 MIN_WORDS, MIN_LINE_WORDS = 25, 8
@@ -192,8 +192,8 @@ def _deleted(text: Words, row: int, spans: np.ndarray) -> np.ndarray:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_removed_words") -> DataFrame:
     """docs with repeated runs cut out of its texts, and a column of the number of words removed more. Keeps every row."""
     arrow_batches(docs.sparkSession)
-    spans = repeats(with_own_names(docs, id=id_col, text=text_col)).withColumnsRenamed({"id": "__id", "spans": "__spans"})
-    joined = docs.drop(removed_col).join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+    spans = repeats(with_own_names(docs, id=id_col, text=text_col)).withColumnsRenamed({"id": (own_id := unused(docs, "id")), "spans": unused(docs, "spans")})
+    joined = docs.drop(removed_col).join(spans, F.col(f"`{id_col}`") == F.col(own_id), "left").drop(own_id)
     names = [c for c in docs.columns if c != removed_col]
     at = names.index(text_col)
 
@@ -239,5 +239,6 @@ def _cut(text: bytes, found: Words, a: int, gone: np.ndarray, offset: int) -> st
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, of the same columns, with repeated runs cut out of its texts and without the documents that lose every word."""
-    out = without_repeats(docs, id_col, text_col, "__removed")
-    return out.where((F.col("__removed") == 0) | (F.length(F.trim(F.col(f"`{text_col}`"))) > 0)).drop("__removed")
+    removed = unused(docs, "removed")
+    out = without_repeats(docs, id_col, text_col, removed)
+    return out.where((F.col(removed) == 0) | (F.length(F.trim(F.col(f"`{text_col}`"))) > 0)).drop(removed)

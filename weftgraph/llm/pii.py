@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored, with_own_names
+from ._spark import stored, unused, with_own_names
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_PRECISION, TREES, RATE = 0.9, 24, 0.3
@@ -284,11 +284,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every selected span of its texts replaced by its kind in brackets. Ids must be unique and not null; other rows keep their texts."""
-    spans = detected(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("__id"), F.array_sort("selected").alias("__spans")).where("size(__spans) > 0").dropDuplicates(["__id"])
+    own_id, own_spans = unused(docs, "own_id"), unused(docs, "own_spans")
+    spans = detected(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias(own_id), F.array_sort("selected").alias(own_spans)).where(F.size(own_spans) > 0).dropDuplicates([own_id])
     t = f"`{text_col}`"
     names = "array(" + ", ".join(f"'[{k}]'" for k in KINDS) + ")"
     cut = F.expr(
-        f"aggregate(__spans, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start < s.at, s, named_struct('at', x.end, 'out', concat(s.out, substr({t}, s.at + 1, x.start - s.at), element_at({names}, x.kind + 1)))), s -> concat(s.out, substr({t}, s.at + 1)))"
+        f"aggregate({own_spans}, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start < s.at, s, named_struct('at', x.end, 'out', concat(s.out, substr({t}, s.at + 1, x.start - s.at), element_at({names}, x.kind + 1)))), s -> concat(s.out, substr({t}, s.at + 1)))"
     )
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__id").isNull(), F.col(t)).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col(own_id), "left")
+    return joined.withColumn(text_col, F.when(F.col(own_id).isNull(), F.col(t)).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import arrow_batches, lean, stored, with_own_names
+from ._spark import arrow_batches, lean, stored, unused, with_own_names
 from ._text import WORD, spans_hash, text_slices, words
 from .toxicity import _logistic, held_out
 
@@ -263,5 +263,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
     """The rows of docs, with all columns, that score 0.5 or more."""
-    low = quality(docs, labels, id_col, text_col, label_col, meta_cols).where("predicted = 0").select(F.col(f"`{id_col}`").alias("__low")).distinct()
-    return docs.join(low, docs[f"`{id_col}`"] == low["__low"], "left_anti")
+    low = quality(docs, labels, id_col, text_col, label_col, meta_cols).where("predicted = 0").select(F.col(f"`{id_col}`").alias(name := unused(docs, "low"))).distinct()
+    return docs.join(low, F.col(f"`{id_col}`") == F.col(name), "left_anti")
