@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, line_dedup, near_dedup, sentencepiece_stream, toxicity
-from weftgraph.llm._spark import stored
+from weftgraph.llm._spark import stored, unused
 
 #: Near duplicates share this part of their five-word shingles.
 PERCENT = 80
@@ -29,8 +29,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = near_dedup.near_duplicates(docs, percent=PERCENT).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(others, docs["doc_id"] == F.col("__other"), "left_anti")
+    name = unused(docs, "other")
+    others = near_dedup.near_duplicates(docs, percent=PERCENT).where("doc_id is not null and not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(others, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def without_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
