@@ -59,7 +59,7 @@ def test_document_subgraph_and_deletion(spark):
         "src string, dst string, rel string",
     )
     found = {(r.id, r.role) for r in graph.document_subgraph(edges, "d1").collect()}
-    assert found == {("c1", "chunk"), ("own", "orphan_entity")}
+    assert found == {("d1", "document"), ("c1", "chunk"), ("own", "orphan_entity")}
     nodes = table(spark, [(n, "t", n) for n in ("c1", "c2", "d1", "d2", "shared", "own")], "id string, type string, name string")
     left, kept = graph.without_nodes(nodes, edges, table(spark, [("c1",), ("own",)], "id string"))
     assert {r.id for r in left.collect()} == {"c2", "d1", "d2", "shared"} and kept.count() == 2
@@ -188,8 +188,8 @@ def test_vector_search(spark):
     assert [r.id for r in search.most_similar(v, [1.0, 0.0], 10, 0.5).collect()] == ["a", "c"]
     with pytest.raises(KeyError):
         search.vector_of(v, "nobody")
-    with pytest.raises(ValueError):
-        search.batch_nearest(v, v, max_queries=2)
+    best = [{(r.query, r.id, r.rank) for r in search.batch_nearest(v, v, 2, max_queries=n).collect()} for n in (1, 2, 100)]
+    assert best[0] == best[1] == best[2] and len(best[0]) == 2 * v.count()
 
 
 def test_bootstrap(spark):

@@ -541,10 +541,10 @@ def indexed_triplets(spark: SparkSession, d: str) -> DataFrame:
     return J.triplet_index(_nodes(spark, d), _edges(spark, d)).agg(F.countDistinct("id").alias("n"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, upper(text) AS text FROM documents WHERE lang = 'en' AND length(trim(text)) > 0")
+@query("SELECT doc_id::VARCHAR AS id, '> '||text AS text FROM documents WHERE lang = 'en' AND length(trim(text)) > 0")
 def memified(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("lang") == "en", "DocumentChunk").otherwise("Other").alias("type"), "text")
-    return J.memify(docs, docs.select("id"), J.subgraph_chunks, (lambda df: df.withColumn("text", F.upper("text")),))
+    return J.memify(docs, docs.select("id"), J.subgraph_chunks, (lambda df: df.withColumn("text", F.concat(F.lit("> "), "text")),))
 
 
 @query(f"SELECT {_ID.format(x='event_id||' + chr(39) + '_enrichment' + chr(39))} AS src, event_id::VARCHAR AS dst, 'enriches_feedback' AS rel FROM events WHERE event_type = 'error' UNION ALL SELECT {_ID.format(x='event_id||' + chr(39) + '_enrichment' + chr(39))}, (event_id - 1)::VARCHAR, 'improves_interaction' FROM events WHERE event_type = 'error'")
