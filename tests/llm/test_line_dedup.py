@@ -1,7 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from weftgraph.llm import line_dedup as L
+from weftgraph.llm._text import text_slices, words
 
 
 def units(text):
@@ -123,3 +127,46 @@ def test_passages_whose_parts_came_up_before_in_other_company(spark):
     pairs = " ".join(f"{a} {b} {sentence(rnd, 11)}" for a, b in zip(six[:-1], six[1:], strict=True))
     found = run(spark, [(1, pairs), (2, f"{sentence(rnd)} {' '.join(six)} {sentence(rnd)}"), (3, f"{sentence(rnd)} {' '.join(six)} {sentence(rnd)}")])
     assert found[1].n_removed_words == 28 * 0 and found[3].n_removed_words == 84 and not any(x in found[3].text for x in six)
+
+
+def test_places_of_whole_ids_meet_without_sorting(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "id long, text string")
+    plan = L.repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_ids_of_any_kind_give_the_same(spark):
+    rnd = random.Random(12)
+    pool = [sentence(rnd, rnd.choice([3, 8, 13])) for _ in range(40)]
+    texts = []
+    for _ in range(30):
+        s = rnd.randrange(30)
+        texts.append(rnd.choice(["\n", " "]).join([sentence(rnd), *pool[s : s + rnd.randint(1, 9)], sentence(rnd), *pool[s : s + rnd.randint(0, 9)]]))
+    expected = None
+    for kind, name in (("long", int), ("int", lambda k: k - 15), ("long", lambda k: (k - 15) << 58), ("long", lambda k: k - (1 << 63)), ("tinyint", int), ("string", "{:03d}".format)):
+        rows = spark.createDataFrame([(name(k), text) for k, text in enumerate(texts)], f"doc_id {kind}, text string")
+        found = [(r.text, r.n_removed_words) for r in sorted(L.without_repeats(rows).collect(), key=lambda r: r.doc_id)]
+        expected = expected or found
+        assert found == expected and sum(n for _, n in found) > 100, kind
+
+
+def test_hashes_of_words_depend_on_every_byte_and_on_nothing_else():
+    texts = ["x" * n for n in range(1, 140)] + ["x" * k + "y" + "x" * (n - k - 1) for n in (1, 7, 8, 9, 16, 63, 64, 65, 130) for k in range(n)] + ["\0", "\0\0", "x\0"]
+    texts = [text.encode() for text in sorted(set(texts))]
+
+    def hashes(before, between):
+        data = before + between.join(texts)
+        size = np.array([len(text) for text in texts])
+        end = len(before) + np.cumsum(size + len(between)) - len(between)
+        return L._word_hashes(np.frombuffer(data, np.uint8), end - size, end)
+
+    assert len(set(hashes(b"", b" ").tolist())) == len(texts)
+    assert (hashes(b"", b" ") == hashes(b"before ", b"\n--\n")).all()
+
+
+def test_words_are_those_of_the_shared_splitter():
+    rnd = random.Random(13)
+    for _ in range(300):
+        rows = ["".join(rnd.choice("ab. \n\t\x0b\x0c\ré\0") for _ in range(rnd.choice([0, 0, 1, 3, 60]))) for _ in range(rnd.randint(1, 6))]
+        for _, _, data, offsets in text_slices(pa.array(rows)):
+            assert all((x == y).all() for x, y in zip(words(data, offsets), L._words(data, offsets), strict=True)), rows
