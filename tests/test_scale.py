@@ -1,12 +1,13 @@
 """What has to hold at larger sizes and on repeated, empty and missing rows."""
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from weftgraph.operators import graph
+from weftgraph.operators import graph, retrieval, search
 
 
 def test_triangles_are_counted_by_blocks_without_shuffling_arrays(spark, monkeypatch):
@@ -38,3 +39,47 @@ def test_corners_are_the_same_in_small_steps(monkeypatch, mask):
             total[out.column(0).to_numpy()] += out.column(1).to_numpy()
     # 0 1 2, 0 1 3, 0 2 3, 0 2 5, 0 3 5, 1 2 3, 1 3 4, 2 3 5
     assert total.tolist() == [5, 4, 5, 6, 1, 3]
+
+
+def test_nearest_vectors_equal_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(base)] + [(60 + i, base[0]) for i in range(4)]
+    rows += [(70, None), (71, [1.0, None, 2.0]), (72, [0.0, 0.0, 0.0]), (73, [1.0, 2.0]), (74, [2.0, 4.0]), (75, [])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+
+    def similarity(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return None
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for k, most in ((4, 100), (70, 20)):
+        expected = {}
+        for q, a in rows:
+            scored = sorted((-s if s is not None else math.inf, i) for i, b in rows for s in [similarity(a, b)])
+            expected[q] = [i for _, i in scored[:k]]
+        found = {}
+        for r in sorted(search.batch_nearest(v, v, k, most).collect(), key=lambda r: r.rank):
+            found.setdefault(r.query, []).append(r.id)
+        assert found == expected
+
+
+def test_nearest_vectors_are_not_joined_row_by_row(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0])], "id string, vector array<float>")
+    found = search.batch_nearest(v, v, 1)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+    assert [(r.query, r.id) for r in found.orderBy("query").collect()] == [("a", "a"), ("b", "b")]
+
+
+def test_scores_per_entity_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    scores = spark.createDataFrame([(1, "a", 0.5)], "query long, id string, distance double").mapInArrow(counted, "query long, id string, distance double")
+    edges = spark.createDataFrame([("a", "b", "r"), ("c", "a", "r")], "src string, dst string, rel string")
+    assert retrieval.per_entity(edges, scores).count() == 2
+    assert made.value == 1
