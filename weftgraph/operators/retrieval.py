@@ -68,8 +68,9 @@ def context_graph(triplets: DataFrame) -> DataFrame:
 
 
 def per_entity(edges: DataFrame, node_scores: DataFrame, k: int = 5, penalty: float = graph.PENALTY) -> DataFrame:
-    """For each query the k best triplets: query, src, rel, dst, score. node_scores: query, id, distance. One plan for all queries."""
-    s = node_scores.select("query", F.col("id").alias("at"), "distance")
+    """For each query the k best triplets: query, src, rel, dst, score. node_scores: query, id, distance. One plan for all queries; the scores are
+    stored, as they are read four times."""
+    s = graph.cut(node_scores).select("query", F.col("id").alias("at"), "distance")
     hit = edges.join(s.withColumnRenamed("at", "src"), "src").select("query", *TRIPLET).unionByName(edges.join(s.withColumnRenamed("at", "dst"), "dst").select("query", *TRIPLET)).distinct()
     scored = hit
     for end in ("src", "dst"):
