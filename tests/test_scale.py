@@ -1,13 +1,17 @@
 """What has to hold at larger sizes and on repeated, empty and missing rows."""
 
+import difflib
 import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, retrieval, search
+from weftgraph import queries as Q
+from weftgraph.operators import chunking, graph, lexical, matching, rdf, retrieval, search
+from weftgraph.sources import files
 
 
 def test_triangles_are_counted_by_blocks_without_shuffling_arrays(spark, monkeypatch):
@@ -83,3 +87,65 @@ def test_scores_per_entity_are_made_once(spark):
     edges = spark.createDataFrame([("a", "b", "r"), ("c", "a", "r")], "src string, dst string, rel string")
     assert retrieval.per_entity(edges, scores).count() == 2
     assert made.value == 1
+
+
+def test_each_page_is_fetched_once_also_where_urls_repeat(spark):
+    pages = spark.createDataFrame([(1, "http://a/x"), (2, "http://a/x"), (3, "http://a/w"), (4, "http://b/x")], "page_id long, url string")
+    found = files.crawl_times(pages, spark.createDataFrame([("http://b", 5.0)], "base_url string, delay double"))
+    assert sorted((r.page_id, r["at"]) for r in found.collect()) == [(1, 1.0), (2, 2.0), (3, 0.0), (4, 0.0)]
+
+
+def test_crawl_times_query_has_a_row_for_each_page(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a/x"), (2, "http://a/x")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r["at"]) for r in Q.queries()["crawl_times"](spark, str(tmp_path)).collect()) == [(1, 0.0), (2, 1.0)]
+
+
+def test_rows_are_numbered_once_each_over_many_ranges(spark):
+    rows = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"), F.rand().alias("place"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "24k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        found = files.csv_text(rows, ["k"], "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.number, r.text) for r in found) == [(i + 1, f"Row {i + 1}: k: {i}") for i in range(20_000)]
+
+
+@pytest.mark.parametrize("query", ("character_chunks", "code_chunks"))
+def test_joined_chunks_give_each_row_of_documents(spark, tmp_path, query):
+    rows = [(1, "one two " * 100), (1, "x\n\ndef y" * 90), (2, ""), (3, None), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, Q.queries()[query](spark, str(tmp_path)).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_chunks_are_made_in_short_batches(spark):
+    docs = spark.createDataFrame([(i, "word. " * 300) for i in range(1200)], "doc_id long, text string").coalesce(1)
+    chunks = chunking.chunked(docs, "paragraph", 10)
+    assert "MapInPandas" not in chunks._jdf.queryExecution().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= chunking.BATCH_ROWS
+    assert chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "").alias("t")).where(F.col("t") == "word. " * 300).count() == 1200
+
+
+def test_more_names_than_fit_in_one_list_are_matched(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_CANDIDATES", 2)
+    monkeypatch.setattr(matching, "MOST_NAMES", 2)
+    known = [f"customer_{i}" for i in range(40)] + ["nation_1", "straße"]
+    names = ["customer_7", "custmer_8", "customer_99", "natoin_1", "zzz", "strasse", "", None, "customer_"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    found = {r.id: r.match for r in matching.closest(df, known).collect()}
+    near = lambda n: n if n is None or n in known else next(iter(difflib.get_close_matches(n, known, 1, matching.CUTOFF)), None)
+    assert found == {i: near(n) for i, n in enumerate(names)}
+    table = spark.createDataFrame([("individuals", k, f"u#{k}") for k in known], "category string, key string, uri string")
+    assert {r.id: r.uri for r in rdf.matched(df, table, "individuals").collect()} == {i: n and near(n) and f"u#{near(n)}" for i, n in enumerate(names)} | {6: None}
+
+
+def test_a_query_is_cut_into_tokens_once(spark):
+    chunks = spark.createDataFrame([(1, "red red blue"), (2, "green"), (3, "red blue blue")], "id int, text string")
+    found = lexical.search(chunks, "red blue blue", scorer=lexical.multiset_jaccard)
+    assert "red blue blue" not in found._jdf.queryExecution().analyzed().toString()
+    assert [(r.id, r.score) for r in found.collect()] == [(3, 1.0), (1, 0.5), (2, 0.0)]
+    assert [r.score for r in lexical.search(chunks, "", scorer=lexical.multiset_jaccard).collect()] == [0.0] * 3
