@@ -77,13 +77,10 @@ def node_sets(documents: DataFrame, metadata: str = "metadata", id_col: str = "i
 
 def csv_text(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     """A table as one text for each row with its number from 1 in a stated order, dealt out without gathering rows in one task: number, text."""
-    from pyspark.sql import Window
+    from ..operators.graph import numbered
 
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    number = F.row_number().over(Window.partitionBy("__part").orderBy(order)) + F.col("__before")
-    return rows_as_text(ranged.join(F.broadcast(before), "__part").withColumn("number", number), columns).select("number", F.concat(F.lit("Row "), F.col("number").cast("string"), F.lit(": "), F.col("text")).alias("text"))
+    placed = numbered(rows, order, name="__number").withColumn("__number", F.col("__number") + 1)
+    return rows_as_text(placed, columns).select(F.col("__number").alias("number"), F.concat(F.lit("Row "), F.col("__number").cast("string"), F.lit(": "), F.col("text")).alias("text"))
 
 
 def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
