@@ -93,12 +93,13 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFra
 
 
 def crawl_times(urls: DataFrame, delays: DataFrame, default: float = 1.0) -> DataFrame:
-    """When each page may be fetched at the earliest, in seconds from the start, if a site's pages keep its delay (base_url, delay) apart: url, at."""
+    """When each page may be fetched at the earliest, in seconds from the start, if a site's pages keep its delay (base_url, delay) apart: the columns of urls (url and any others) and at.
+    Each row is a fetch of its own, also where a url is repeated; rows of one url go by the other columns."""
     from pyspark.sql import Window
 
-    site = urls.withColumn("base_url", base_url(F.col("url"))).join(delays, "base_url", "left")
-    number = F.row_number().over(Window.partitionBy("base_url").orderBy("url")) - 1
-    return site.select("url", (number * F.coalesce("delay", F.lit(default))).alias("at"))
+    site = urls.withColumn("__site", base_url(F.col("url"))).join(delays.select(F.col("base_url").alias("__site"), F.col("delay").alias("__delay")), "__site", "left")
+    number = F.row_number().over(Window.partitionBy("__site").orderBy("url", *[c for c in urls.columns if c != "url"])) - 1
+    return site.select(*urls.columns, (number * F.coalesce("__delay", F.lit(default))).alias("at"))
 
 
 def base_url(url):
