@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,20 +177,51 @@ def use_chunker(name: str, chunker) -> None:
     _CHUNKERS[name] = chunker
 
 
-def chunked(docs: DataFrame, chunker: str, *args, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each chunk: the id, chunk_id (from document and index), chunk_index, text, chunk_size, cut_type."""
-    function = _CHUNKERS[chunker]
-    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
-
-    def each(batches):
-        import pandas as pd
+#: Documents in one batch of input, and characters and chunks in one of output. Texts may be long, so batches are short.
+BATCH_ROWS, BATCH_CHARS, BATCH_CHUNKS = 500, 1_000_000, 10_000
 
-        for pdf in batches:
-            rows = [(i, k, c, n, kind) for i, t in zip(pdf.iloc[:, at_id], pdf.iloc[:, at_text], strict=True) for k, c, n, kind in function(t or "", *args)]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "chunk_size", "cut_type"])
 
-    out = docs.mapInPandas(each, f"`{id_col}` {dict(docs.dtypes)[id_col]}, chunk_index int, text string, chunk_size int, cut_type string")
-    return out.select(id_col, uuid5(F.concat_ws("-", F.col(id_col).cast("string"), F.col("chunk_index").cast("string"))).alias("chunk_id"), "chunk_index", "text", "chunk_size", "cut_type")
+def chunked(docs: DataFrame, chunker: str, *args, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each chunk: the id, chunk_id (from document and index), chunk_index, text, chunk_size, cut_type, and columns of the document to keep."""
+    function = _CHUNKERS[chunker]
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(limit, "10000")) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(limit, str(BATCH_ROWS))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+
+            def made(rows, batch=batch):
+                at, index, chunk, size, kind = zip(*rows, strict=True)
+                own = [batch.column(i).take(pa.array(at)) for i in (0, *range(2, batch.num_columns))]
+                return pa.RecordBatch.from_arrays([own[0], pa.array(index, pa.int32()), pa.array(chunk, pa.string()), pa.array(size, pa.int32()), pa.array(kind, pa.string()), *own[1:]], names=names)
+
+            for i in range(batch.num_rows):
+                for k, c, n, kind in function(batch.column(1)[i].as_py() or "", *args):
+                    rows.append((i, k, c, n, kind))
+                    held += len(c)
+                    if held >= BATCH_CHARS or len(rows) >= BATCH_CHUNKS:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    names = [id_col, "chunk_index", "text", "chunk_size", "cut_type", *keep]
+    types = dict(docs.dtypes)
+    kept = "".join(f", `{c}` {types[c]}" for c in keep)
+    out = docs.select(id_col, text_col, *keep).mapInArrow(each, f"`{id_col}` {types[id_col]}, chunk_index int, text string, chunk_size int, cut_type string{kept}")
+    return out.select(id_col, uuid5(F.concat_ws("-", F.col(id_col).cast("string"), F.col("chunk_index").cast("string"))).alias("chunk_id"), "chunk_index", "text", "chunk_size", "cut_type", *keep)
+
+
+def joined_again(docs: DataFrame, chunker: str, *args, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs, its id and its chunks joined, which give the text; also where an id is repeated, or a text is empty or null and has no chunks."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    c = chunked(rows.withColumn("row", F.monotonically_increasing_id()), chunker, *args, keep=("row",))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")
+    joined = c.groupBy("row", "doc_id").agg(text.alias("text")).select("doc_id", "text")
+    return joined.unionByName(rows.where("text is null or text = ''")).toDF(id_col, text_col)
 
 
 def chunk_totals(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
